@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sedimenta.llm import garble, quotes
+from sedimenta.llm import encoding, garble, packing, personal, quotes
 from sedimenta.plans.registry import Registry
 from sedimenta.session import table
 
@@ -29,3 +30,42 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query("p5_new_text")
 def p5_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.new_text(table(spark, sf_dir, "emails"))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "emails").select(F.lit("emails").alias("tab"), F.col("delivery_id").alias("row_id"), F.col("body").alias("text"))
+    m = table(spark, sf_dir, "review_moves").select(F.lit("review_moves").alias("tab"), F.col("move_id").alias("row_id"), F.col("response").alias("text"))
+    return e.unionByName(m)
+
+
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find_mentions(_texts(spark, sf_dir), table(spark, sf_dir, "emails"), table(spark, sf_dir, "known_names"))
+
+
+@registry.query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mentions(spark, sf_dir).select("tab", "row_id", "kind", "start_pos")
+
+
+@registry.query("p6_replaced")
+def p6_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.replace(_texts(spark, sf_dir), _mentions(spark, sf_dir))
+
+
+@registry.query("p7_ids")
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode(table(spark, sf_dir, "documents"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(encoding.encode(table(spark, sf_dir, "documents"), only_lengths=True), table(spark, sf_dir, "pack_capacities"))
+
+
+@registry.query("p8_placed")
+def p8_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)
+
+
+@registry.query("p8_report")
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(_packed(spark, sf_dir), table(spark, sf_dir, "pack_capacities"))
