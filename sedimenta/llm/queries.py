@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import encoding, garble, packing, personal, quotes
+from sedimenta.llm import encoding, garble, packing, personal, quotes, sentences
 from sedimenta.plans.registry import Registry
 from sedimenta.session import table
 
@@ -69,3 +69,13 @@ def p8_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query("p8_report")
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(_packed(spark, sf_dir), table(spark, sf_dir, "pack_capacities"))
+
+
+@registry.query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.find_sentences(table(spark, sf_dir, "documents"))
+
+
+@registry.query("p9_sentences")
+def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.find_sentences(table(spark, sf_dir, "documents"), with_text=True)
