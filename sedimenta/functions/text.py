@@ -20,16 +20,27 @@ def lines(c: Column) -> Column:
     return F.split(c, "\n")
 
 
+def bound(c: Column, use) -> Column:  # noqa: ANN001
+    """use(c) with c computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def clean_body(c: Column) -> Column:
     """A mail body up to its signature or list footer, without quoted lines, runs of blank
     lines folded into one. A signature mark before anything else is kept as text."""
-    a = lines(c)
-    nums = F.sequence(F.lit(1), F.size(a))
-    first = F.coalesce(F.array_min(F.filter(nums, lambda i: ~F.startswith(F.element_at(a, i), F.lit(">")))), F.lit(1 << 30))
-    stops = F.filter(nums, lambda i: ((i > first) & (strip(F.element_at(a, i)) == "--")) | F.startswith(F.element_at(a, i), F.lit(FOOTER_RULE)))
-    stop = F.coalesce(F.array_min(stops), F.size(a) + 1)
-    kept = F.filter(F.slice(a, 1, stop - 1), lambda x: ~F.startswith(x, F.lit(">")))
-    return strip(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"))
+    index = F.transform(lines(c), lambda x, i: F.struct(i.alias("i"), x.alias("x"), F.startswith(x, F.lit(">")).alias("q")))
+
+    def kept(a: Column) -> Column:
+        first = F.coalesce(F.array_min(F.transform(F.filter(a, lambda r: ~r["q"]), lambda r: r["i"])), F.lit(1 << 30))
+
+        def upto(first: Column) -> Column:
+            ends = F.filter(a, lambda r: ((r["i"] > first) & (F.length(r["x"]) <= 12) & (strip(r["x"]) == "--")) | F.startswith(r["x"], F.lit(FOOTER_RULE)))
+            return F.coalesce(F.array_min(F.transform(ends, lambda r: r["i"])), F.size(a))
+
+        stop = bound(first, upto)
+        return bound(stop, lambda s: F.array_join(F.transform(F.filter(a, lambda r: (r["i"] < s) & ~r["q"]), lambda r: r["x"]), "\n"))
+
+    return strip(F.regexp_replace(bound(index, kept), "\n{3,}", "\n\n"))
 
 
 def word_count(c: Column) -> Column:

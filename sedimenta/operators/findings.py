@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,47 +66,57 @@ def match_groups(findings: DataFrame, anchor: str, near: int = NEAR_LINES, words
     within a file, so files are handled one by one; without words, files are first cut where
     no two lines are near, which bounds what one task holds."""
     f = findings.select("finding_id", "model", "file", "line", "title")
-    groups = ["file"]
-    if words is None:
-        f = by_place(f, near)
-        groups.append("place_no")
-    else:
-        f = f.withColumn("place_no", F.lit(0).cast("bigint"))
+    f = by_place(f, near) if words is None else f.withColumn("place_no", F.lit(0).cast("bigint"))
     stop = set(TITLE_STOP)
 
-    def match(pdf):  # noqa: ANN001, ANN202
-        import re
-
-        import pandas as pd
-
-        rows = pdf.sort_values("finding_id").to_dict("records")
+    def match(rows: list[dict]) -> Iterator[tuple]:
         for r in rows:
-            r["words"] = set(re.findall(r"\w+", (r["title"] or "").lower())) - stop
+            r["words"] = set(re.findall(r"\w+", (r["title"] or "").lower())) - stop if words is not None else set()
         used: set = set()
-        out, no = [], 0
+        no = 0
         others = sorted({r["model"] for r in rows} - {anchor})
         pools = {m: [r for r in rows if r["model"] == m] for m in others}
         for a in (r for r in rows if r["model"] == anchor):
             no += 1
-            out.append((a["file"], a["place_no"], no, a["model"], a["finding_id"]))
-            if pd.isna(a["line"]):
+            yield a["file"], a["place_no"], no, a["model"], a["finding_id"]
+            if a["line"] is None:
                 continue
             for m in others:
                 for r in pools[m]:
-                    if r["finding_id"] in used or pd.isna(r["line"]):
+                    if r["finding_id"] in used or r["line"] is None:
                         continue
                     if abs(a["line"] - r["line"]) <= near or (words is not None and len(a["words"] & r["words"]) >= words):
                         used.add(r["finding_id"])
-                        out.append((a["file"], a["place_no"], no, m, r["finding_id"]))
+                        yield a["file"], a["place_no"], no, m, r["finding_id"]
                         break
         for m in others:
             for r in pools[m]:
                 if r["finding_id"] not in used:
                     no += 1
-                    out.append((r["file"], r["place_no"], no, m, r["finding_id"]))
-        return pd.DataFrame(out, columns=["file", "place_no", "group_no", "model", "finding_id"])
-
-    return f.groupBy(*groups).applyInPandas(match, f"file {f.schema['file'].dataType.simpleString()}, place_no long, group_no long, model string, finding_id long")
+                    yield r["file"], r["place_no"], no, m, r["finding_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Files follow one another; each is matched when the next begins."""
+        group: list[dict] = []
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                if group and (r["file"], r["place_no"]) != (group[0]["file"], group[0]["place_no"]):
+                    out += match(group)
+                    group = []
+                group.append(r)
+            yield _matched(out, kind)
+        yield _matched(list(match(group)), kind)
+
+    kind = f.schema["file"].dataType.simpleString()
+    order = f.repartition("file", "place_no").sortWithinPartitions("file", "place_no", "finding_id")
+    return order.mapInArrow(run, f"file {kind}, place_no long, group_no long, model string, finding_id long")
+
+
+def _matched(rows: list[tuple], kind: str) -> pa.RecordBatch:
+    types = [pa.string() if kind == "string" else pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "place_no", "group_no", "model", "finding_id"])
 
 
 def disagreements(groups: DataFrame, keys: list[str]) -> DataFrame:
