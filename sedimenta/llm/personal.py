@@ -17,8 +17,8 @@ stands; repeated rows are judged one by one.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import product
 
 import ahocorasick
 import numpy as np
@@ -136,7 +136,8 @@ class Labelers:
         taken: list[tuple[int, int]] = []
 
         def free(a: int, b: int) -> bool:
-            return all(b <= x or a >= y for x, y in taken)
+            k = bisect_left(taken, (b, b))
+            return k == 0 or taken[k - 1][1] <= a
 
         def beside(kind: str, a: int, b: int) -> tuple[int, int]:
             left, right = _WORD_LEFT.search(text, max(0, a - 24), a), _WORD_RIGHT.match(text, b, b + 24)
@@ -145,7 +146,7 @@ class Labelers:
 
         def add(kind: str, a: int, b: int, pattern: int, known: int, shape: str, against: int = 0) -> None:
             near, no = beside(kind, a, b)
-            taken.append((a, b))
+            insort(taken, (a, b))
             out.append((a, b, KINDS.index(kind), (pattern, known, near, against or no), shape))
 
         for h in _ADDRESS_HINTS:
@@ -386,7 +387,7 @@ def replace(texts: DataFrame, mentions: DataFrame) -> DataFrame:
     """(tab, row_id, text) with placeholders such as [NAME] for mentions; (tab, row_id)
     tells texts apart."""
     at = mentions.groupBy("tab", "row_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "kind"))).alias("m"))
-    j = texts.join(at, ["tab", "row_id"], "left")
+    j = texts.select("tab", "row_id", "text").join(at, ["tab", "row_id"], "left")
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("upto"))
     cut_in = lambda acc, m: F.struct(
         F.concat(acc["done"], F.substring(F.col("text"), (acc["upto"] + 1).cast("int"), (m["start_pos"] - acc["upto"]).cast("int")), F.lit("["), F.upper(m["kind"]), F.lit("]")).alias("done"), m["end_pos"].alias("upto")
