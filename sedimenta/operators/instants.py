@@ -158,11 +158,11 @@ def to_utc(df: DataFrame, text: str, zone: str, out: str = "utc_us") -> DataFram
     t = F.col("__t")
     df = parsed(df, text, zone).withColumn("__zone", F.when(t["offset"].isNull() & t["epoch"].isNull(), t["zone"]))
     df = df.withColumn("__year", F.year(F.timestamp_micros(t["local"])))
-    table = F.broadcast(zone_intervals(df.sparkSession).select(F.col("zone").alias("__z"), F.col("year").alias("__y"), "spans"))  # fixed size
+    table = F.broadcast(zone_intervals(df.sparkSession).select(F.col("zone").alias("__z"), F.col("year").alias("__y"), F.col("spans").alias("__spans")))  # fixed size
     df = df.join(table, (F.col("__zone") == F.col("__z")) & (F.col("__year") == F.col("__y")), "left")
     local = t["local"]
-    hold = F.filter("spans", lambda s: (s["a"] <= local) & (local < s["b"]))
-    before = F.try_element_at(F.filter("spans", lambda s: s["b"] <= local), F.lit(-1))["east"]
+    hold = F.filter("__spans", lambda s: (s["a"] <= local) & (local < s["b"]))
+    before = F.try_element_at(F.filter("__spans", lambda s: s["b"] <= local), F.lit(-1))["east"]
     # Of two offsets that fit, the larger one is that of the earlier instant.
     east = F.when(F.size(hold) > 0, F.array_max(F.transform(hold, lambda s: s["east"]))).otherwise(before)
-    return df.withColumn(out, F.coalesce(t["epoch"], local - F.coalesce(t["offset"], east).cast("bigint") * 1000000)).drop("__t", "__zone", "__year", "__z", "__y", "spans")
+    return df.withColumn(out, F.coalesce(t["epoch"], local - F.coalesce(t["offset"], east).cast("bigint") * 1000000)).drop("__t", "__zone", "__year", "__z", "__y", "__spans")
