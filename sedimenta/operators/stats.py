@@ -34,7 +34,8 @@ def yearly_trends(df: DataFrame, year: str = "year", order: str = "move_id", rej
 
 
 def corpus_stats(df: DataFrame) -> DataFrame:
-    """(what, label, cnt, pct): all rows, and shares of severities and categories."""
+    """(what, label, cnt, pct): all rows, and shares of severities and categories; an empty
+    table gives no rows."""
     g = df.groupingSets([[], ["severity"], ["category"]], "severity", "category").agg(F.count("*").alias("cnt"), F.grouping_id().alias("gid"))
     what = F.when(F.col("gid") == 3, "total").when(F.col("gid") == 1, "severity").otherwise("category")
     total = F.max(F.when(F.col("gid") == 3, F.col("cnt"))).over(Window.partitionBy())  # one row a label
