@@ -39,7 +39,7 @@ NAME_SHARE = 1e-5
 
 #: A blank or one line end, with marks of quotation.
 _W = r"(?:[ \xa0]|[ \t]*\r?\n(?:[A-Z]{1,3}> ?|[>|] ?)*[ \t]*)"
-_CITY = rf"[^\W\d_][\w'’.-]+(?:{_W}[A-Z][\w'’.-]+)?"
+_CITY = rf"(?:St\.{_W})?[^\W\d_][\w'’-]+(?:{_W}[A-Z][\w'’-]+)?"
 
 # How postal addresses are written, from street, number, flat or box on.
 _ADDRESSES = [
