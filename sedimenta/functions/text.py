@@ -124,3 +124,21 @@ def header_address(h: Column) -> Column:
 def content_words(c: Column, stop_words: list[str], least: int = 3) -> Column:
     """Lower-case words of at least so many letters that are no stop words."""
     return F.filter(F.regexp_extract_all(F.lower(c), F.lit("([a-z_]+)"), F.lit(1)), lambda w: (F.length(w) >= least) & ~w.isin(stop_words))
+
+
+def json_response(c: Column, schema: str) -> Column:
+    """A service's answer as a struct: code fences around it are taken off, what is no JSON
+    is null."""
+    t = without_fences(c)
+    return F.from_json(F.when(F.try_parse_json(t).isNotNull(), t), schema)
+
+
+def from_rule(c: Column) -> Column:
+    """Text from its first line `---` on; empty where it has none."""
+    at = F.expr("0") + F.instr(F.concat(F.lit("\n"), c, F.lit("\n")), "\n---\n")
+    return F.when(at > 0, F.substring(c, at, F.length(c))).otherwise("")
+
+
+def citations(c: Column, patterns: list[str]) -> Column:
+    """How often any of the patterns occurs, in either case."""
+    return F.coalesce(F.regexp_count(c, F.lit("(?i)" + "|".join(f"(?:{p})" for p in patterns))), F.lit(0))

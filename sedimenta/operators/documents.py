@@ -94,3 +94,19 @@ def patched_tail(text: Column, patch: Column, marker: str = "\n## ") -> Column:
     """text with its last section replaced by a patch; without a section it is appended."""
     at = F.length(text) - F.length(F.substring_index(text, marker, -1)) - len(marker)
     return F.when(text.contains(marker), F.concat(F.left(text, at.cast("int")), F.lit("\n"), patch)).otherwise(F.concat(text, F.lit("\n"), patch))
+
+
+def merged_chunks(chunks: DataFrame, doc: str, order: str, text: str, stop: str = "## Findings") -> DataFrame:
+    """(doc, text): the chunks of each document in order, the first up to a heading. A
+    document is a handful of chunks."""
+    first = F.when(F.col("x.n") == 0, F.substring_index("x.t", stop, 1)).otherwise(F.col("x.t"))
+    rn = F.row_number().over(Window.partitionBy(doc).orderBy(order)) - 1
+    c = chunks.withColumn("x", F.struct(rn.alias("n"), F.col(text).alias("t"))).withColumn("x", F.struct("x.n", first.alias("t")))
+    return c.groupBy(doc).agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n").alias("text"))
+
+
+def as_prompt(df: DataFrame, columns: list[str], most: int = 1000) -> str:
+    """A sample of rows as one JSON array."""
+    import json
+
+    return json.dumps([json.loads(r.j) for r in df.limit(most).select(F.to_json(F.struct(*columns)).alias("j")).collect()], ensure_ascii=False)

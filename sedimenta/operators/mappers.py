@@ -11,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 RESULT = "key string, moves array<struct<trigger:string,principle:string,response:string,severity:string,category:string>>, error string"
@@ -65,6 +65,32 @@ class RuleMapper:
         return out
 
 
+@dataclass(frozen=True)
+class Fallback:
+    """Mappers asked in turn until one answers without an error."""
+
+    mappers: tuple[Mapper, ...]
+
+    def __call__(self, key: str, text: str) -> list[dict]:
+        last: Exception | None = None
+        for m in self.mappers:
+            try:
+                return m(key, text)
+            except Exception as e:  # noqa: BLE001
+                last = e
+        if last is not None:
+            raise last
+        return []
+
+
+def observed(results: DataFrame, name: str = "run") -> tuple[DataFrame, Observation]:
+    """results, and counters of records, moves and errors that are known when they are
+    written; no second pass."""
+    o = Observation(name)
+    moves = F.coalesce(F.size("moves"), F.lit(0))
+    return results.observe(o, F.count(F.lit(1)).alias("records"), F.sum(F.when(moves > 0, moves).otherwise(0)).alias("moves"), F.count_if(F.col("error").isNotNull()).alias("errors")), o
+
+
 def annotate(rows: DataFrame, key: str, text: str, mapper: Mapper, most_chars: int = 8000, workers: int = 4, retry: Retry = Retry(), tasks: int | None = None) -> DataFrame:
     """(key, moves, error). Texts are cut to what the service reads; filters belong before
     this step, as none is pushed through it. tasks bounds how many tasks call at a time."""

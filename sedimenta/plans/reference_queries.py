@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions import labels, text
 from sedimenta.functions.keys import message_key
-from sedimenta.operators import documents, findings, mappers, moves, passages, quality, sampling, stats
+from sedimenta.operators import documents, enrich, findings, mappers, moves, passages, quality, sampling, stats
 from sedimenta.plans.core_queries import _key_sql
 from sedimenta.plans.registry import Registry
 from sedimenta.session import table
@@ -714,6 +714,113 @@ def parse_reviews(spark, sf_dir):  # noqa: ANN001, ANN201
     return r.select("move_id", "severity", "title", "location", "kind", "file", "line")
 
 
+# Enrichment, manifests, assembly
+
+@query("recipients", """
+select delivery_id, 'to' as role, r as recipient from (select delivery_id, unnest(list_filter(list_transform(string_split(coalesce(to_addrs, ''), ','), lambda x: lower(trim(x))), lambda x: x <> '')) as r from emails)
+union all select delivery_id, 'cc', r from (select delivery_id, unnest(list_filter(list_transform(string_split(coalesce(cc_addrs, ''), ','), lambda x: lower(trim(x))), lambda x: x <> '')) as r from emails)
+""")
+def recipients(spark, sf_dir):  # noqa: ANN001, ANN201
+    return enrich.recipients(table(spark, sf_dir, "emails"))
+
+
+@query("variation_enrichment", r"""
+with e as (select message_id, coalesce(subject, '') as s, in_reply_to, date, lower(left(body, 2000)) as t from emails where coalesce(trim(message_id), '') <> '' and len(list_filter(regexp_split_to_array(coalesce(body, ''), '[\s\p{Z}\x{85}]+'), lambda w: w <> '')) >= 50),
+r as (select *, case when contains(t, 'corrupt') or contains(t, 'leaks memory') then 'safety_critical' when contains(t, 'better name') then 'cosmetic' else 'correctness' end as risk from e)
+select message_id as email_message_id, case when coalesce(in_reply_to, '') = '' then 'initial_review' when regexp_matches(s, '(?i)\b(applied|merged|rejected|acked|pulled)\b') then 'final_decision' else 'iteration_n' end as thread_phase,
+  case when regexp_matches(s, '(?i)(-rc|merge\s+window|release\s+blocker|critical\s+fix)') or coalesce(regexp_matches(date, '(?i)-rc\d'), false) then 'release_blocker' else 'routine' end as urgency,
+  case when contains(t, 'release') then 'high' when risk = 'cosmetic' then 'low' else 'medium' end as stakes, risk from r
+""")
+def variation_enrichment(spark, sf_dir):  # noqa: ANN001, ANN201
+    return enrich.variations(table(spark, sf_dir, "emails"))
+
+
+@query("enrichment_lines", """
+with v as (select coalesce(nullif(trim(thread_phase), ''), 'unknown') as p, coalesce(nullif(trim(urgency), ''), 'unknown') as u, coalesce(nullif(trim(stakes), ''), 'unknown') as s, coalesce(nullif(trim(risk), ''), 'unknown') as r from variations)
+select printf('- %s, %s: stakes %s, risk %s', p, u, s, r) as line, count(*) as n from v group by 1
+""")
+def enrichment_lines(spark, sf_dir):  # noqa: ANN001, ANN201
+    return enrich.enrichment_lines(table(spark, sf_dir, "variations"))
+
+
+@query("archive_manifest", r"""
+with y as (select case when regexp_matches(date, '^\d{4}-\d{2}-\d{2}') then left(date, 4) else 'unknown' end as y, date, regexp_matches(date, '^\d{4}-\d{2}-\d{2}') as ok from emails)
+select count(*) as messages, min(case when ok then date end) as first_date, max(case when ok then date end) as last_date, count(distinct y) as years from y
+""")
+def archive_manifest(spark, sf_dir):  # noqa: ANN001, ANN201
+    from sedimenta.sources import sinks
+
+    m = sinks.manifest(table(spark, sf_dir, "emails"))
+    return m.select("messages", "first_date", "last_date", F.size("by_year").cast("bigint").alias("years"))
+
+
+@query("migration_summary", f"""
+with r as (select email_message_id, {_PART} as part, count(*) filter ({_MIGRATED} is not null) as changed from review_moves group by 1, 2)
+select count(*) filter (changed > 0) as records, cast(sum(changed) as bigint) as moves from r
+""")
+def migration_summary(spark, sf_dir):  # noqa: ANN001, ANN201
+    r = moves.migrate(moves.nest(table(spark, sf_dir, "review_moves")), labels.MIGRATION_CATEGORY)
+    return r.agg(F.count_if(F.col("changed") > 0).alias("records"), F.sum("changed").cast("bigint").alias("moves"))
+
+
+@query("model_metric_grid", f"""
+with {_FINDINGS}, m as (select distinct model from f), s(severity) as (values {", ".join(f"('{x}')" for x in findings.LEVELS)})
+select m.model, s.severity, count(f.finding_id) as cnt from m cross join s left join f on f.model = m.model and f.severity = s.severity group by 1, 2
+""")
+def model_metric_grid(spark, sf_dir):  # noqa: ANN001, ANN201
+    f = _findings(spark, sf_dir)
+    n = f.groupBy("model").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in findings.LEVELS])
+    return n.unpivot("model", findings.LEVELS, "severity", "cnt")
+
+
+@query("net_critical", f"""
+with {_FINDINGS}, {_SETS} select model, gained - lost as net, case when gained > lost then 'better' when gained < lost then 'worse' else 'same' end as label from ss
+""")
+def net_critical(spark, sf_dir):  # noqa: ANN001, ANN201
+    net = F.col("gained") - F.col("lost")
+    return _sets(spark, sf_dir).select("model", net.alias("net"), F.when(net > 0, "better").when(net < 0, "worse").otherwise("same").alias("label"))
+
+
+@query("sample_thresholds", f"""
+with {CANON} select 'categories' as label, count(distinct category) >= 8 as passed from canon union all select 'severities', count(distinct severity) >= 3 from canon union all select 'patterns', count(*) >= 100 from canon
+""")
+def sample_thresholds(spark, sf_dir):  # noqa: ANN001, ANN201
+    a = canon(spark, sf_dir).agg((F.count_distinct("category") >= 8).alias("categories"), (F.count_distinct("severity") >= 3).alias("severities"), (F.count("*") >= 100).alias("patterns"))
+    return a.unpivot([], ["categories", "severities", "patterns"], "label", "passed")
+
+
+_CITED = ["as described in", "the report", "design notes"]
+
+
+@query("citation_counts", f"select passage_id, cast(len(regexp_extract_all(text, '(?i){'|'.join(f'(?:{p})' for p in _CITED)}')) as int) as n from passages where text is not null")
+def citation_counts(spark, sf_dir):  # noqa: ANN001, ANN201
+    return table(spark, sf_dir, "passages").filter("text is not null").select("passage_id", text.citations(F.col("text"), _CITED).alias("n"))
+
+
+@query("text_from_rule", r"""
+with p as (select delivery_id, body, position(chr(10) || '---' || chr(10) in chr(10) || body || chr(10)) as p0 from emails where body is not null)
+select delivery_id, case when p0 > 0 then substr(body, p0) else '' end as text from p
+""")
+def text_from_rule(spark, sf_dir):  # noqa: ANN001, ANN201
+    return table(spark, sf_dir, "emails").filter("body is not null").select("delivery_id", text.from_rule(F.col("body")).alias("text"))
+
+
+@query("merged_chunks", """
+select source_file, string_agg(case when rn = 1 then string_split(text, '. ')[1] else text end, chr(10) order by rn) as text from
+  (select source_file, text, row_number() over (partition by source_file order by passage_id) as rn from passages where text is not null) where rn <= 5 group by 1
+""")
+def merged_chunks(spark, sf_dir):  # noqa: ANN001, ANN201
+    p = sampling.first_per_group(table(spark, sf_dir, "passages").filter("text is not null").select("source_file", "passage_id", "text"), ["source_file"], [F.col("passage_id")], 5)
+    return documents.merged_chunks(p, "source_file", "passage_id", "text", ". ")
+
+
+@query("json_response", "select move_id, severity, category from review_moves")
+def json_response(spark, sf_dir):  # noqa: ANN001, ANN201
+    m = table(spark, sf_dir, "review_moves")
+    answer = F.concat(F.lit("```json\n"), F.to_json(F.struct("severity", "category")), F.lit("\n```"))
+    return m.select("move_id", text.json_response(answer, "severity string, category string").alias("r")).select("move_id", "r.severity", "r.category")
+
+
 # What SQL can't say
 
 @query("html_visible_text", r"select passage_id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[ \t]+', ' ', 'g') as text from passages where text is not null and not regexp_matches(text, '[<&]|\n')")

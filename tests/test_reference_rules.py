@@ -243,3 +243,40 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([("b", 5), ("c", 1)], schema).write.mode("append").json(src)
     go()
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_enrichment_and_assembly(spark, tmp_path):
+    from sedimenta.operators import enrich
+    from sedimenta.sources import dispatch
+
+    e = spark.createDataFrame([("<m@x>", "Re: x", "p", "2020", "w " * 60, " A@x, ,b@y", None, 1), ("", "s", None, None, "w " * 60, "", "", 2), ("<n@x>", None, None, None, None, None, "C@z", 3)], "message_id string, subject string, in_reply_to string, date string, body string, to_addrs string, cc_addrs string, delivery_id long")
+    assert {(r.delivery_id, r.role, r.recipient) for r in enrich.recipients(e).collect()} == {(1, "to", "a@x"), (1, "to", "b@y"), (3, "cc", "c@z")}
+
+    def bad(body):
+        raise ValueError
+
+    assert [(r.email_message_id, r.thread_phase, r.stakes, r.risk) for r in enrich.variations(e, bad).collect()] == [("<m@x>", "iteration_n", "medium", "correctness")]
+    chunks = spark.createDataFrame([("d", 1, "sum\n## Findings\nx"), ("d", 2, "two")], "doc string, no int, t string")
+    assert documents.merged_chunks(chunks, "doc", "no", "t").first().text == "sum\n\ntwo"
+    assert json.loads(documents.as_prompt(chunks.limit(1), ["no"])) == [{"no": 1}]
+    assert one(spark, text.from_rule(F.col("v")), v="a\n---\nb") == "---\nb" and one(spark, text.from_rule(F.col("v")), v="a") == ""
+    assert one(spark, text.json_response(F.col("v"), "a int"), v="```\n{\"a\": 1}\n```").a == 1 and one(spark, text.json_response(F.col("v"), "a int"), v="oops") is None
+    p = tmp_path / "c.jsonl"
+    p.write_text('{"message_id": "a", "to": "t"}\n{"message_id": "b"}\n{"message_id": ""}\nbad\n')
+    keys = spark.createDataFrame([("b",)], "key string")
+    assert [(r.message_id, r.to_addrs) for r in dispatch.read_emails(spark, str(p), keys).collect()] == [("a", "t")]
+    dispatch.append_keys(keys, str(tmp_path / "keys"))
+    assert [r.key for r in jsonl.read_keys(spark, str(tmp_path / "keys")).collect()] == ["b"]
+
+
+def test_fallback_and_counters(spark):
+    def down(key, t):
+        raise OSError("down")
+
+    m = mappers.Fallback((down, mappers.RuleMapper((("x", "style", "nitpick"),))))
+    rows = spark.createDataFrame([("a", "x x"), ("b", "")], "id string, t string")
+    r, seen = mappers.observed(mappers.annotate(rows, "id", "t", m))
+    r.collect()
+    assert seen.get == {"records": 2, "moves": 2, "errors": 0}
+    stored = spark.createDataFrame([("a", [], None)], mappers.RESULT)
+    assert {x.key: x.error for x in mappers.replay(rows, "id", stored).collect()} == {"a": None, "b": "no stored result"}
