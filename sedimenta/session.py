@@ -52,27 +52,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def put(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write a file into the shared folder, whatever file system that is, and return its
+    URI."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark), name)
+    fs = path.getFileSystem(jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+    return fs.makeQualified(path).toString()
+
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the workers this package, once for each application. The archive lies in the
-    shared folder; the driver serves it."""
+    """Give the workers this package, once for each application, through the shared folder."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
+    import io
     import zipfile
-    from urllib.parse import urlparse
 
-    root = os.path.dirname(os.path.abspath(__file__))
-    folder = urlparse(shared_folder(spark)).path if shared_folder(spark).startswith(("file:", "/")) else tempfile.gettempdir()
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, f"sedimenta-{app}.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    root, held = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for at, _, files in os.walk(root):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(at, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    spark.sparkContext.addPyFile(path)
+    spark.sparkContext.addPyFile(put(spark, f"sedimenta-{app}.zip", held.getvalue()))
     _shipped.add(app)
