@@ -14,11 +14,11 @@ in a text are ordinary text; lone surrogates count as U+FFFD.
 from __future__ import annotations
 
 import base64
-import os
-import tempfile
+import io
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from urllib.parse import urlparse
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.session import shared_folder
+from sedimenta.session import put
 
 #: Words that the automaton holds at most, and times a word must occur. All others are merged.
 LEXICON_WORDS, LEXICON_LEAST = 100_000, 2
@@ -162,10 +162,9 @@ def build_automaton(entries: list[tuple[bytes, list[int]]]) -> dict[str, np.ndar
 _PARTS = ["keys", "targets", "skips", "final", "starts", "ids", "root"]
 
 
-def save_automaton(arrays: dict[str, np.ndarray], path: str) -> None:
-    with open(path, "wb") as f:
-        for name in _PARTS:
-            np.save(f, arrays[name])
+def save_automaton(arrays: dict[str, np.ndarray], f: BinaryIO) -> None:
+    for name in _PARTS:
+        np.save(f, arrays[name])
 
 
 class Lexicon:
@@ -239,14 +238,11 @@ def compile_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS
     top = count_words(docs).filter(F.col("n") >= LEXICON_LEAST).orderBy(F.desc("n"), "word").limit(words)
     merger = Merger(vocabulary)
     entries = [(bytes(r["word"]), merger.ids(bytes(r["word"]))) for r in top.select("word").collect()]  # at most so many words
-    shared = shared_folder(spark)
-    folder = urlparse(shared).path if shared.startswith(("file:", "/")) else tempfile.gettempdir()
-    os.makedirs(folder, exist_ok=True)
-    fd, path = tempfile.mkstemp(".lexicon", dir=folder)
-    os.close(fd)
-    save_automaton(build_automaton(entries), path)
-    spark.sparkContext.addFile(path)
-    return os.path.basename(path)
+    held = io.BytesIO()
+    save_automaton(build_automaton(entries), held)
+    uri = put(spark, f"{uuid.uuid4().hex}.lexicon", held.getvalue())
+    spark.sparkContext.addFile(uri)
+    return uri.rsplit("/", 1)[-1]
 
 
 class Encoder:

@@ -42,7 +42,8 @@ def test_empty(spark):
 @given(st.dictionaries(st.binary(min_size=1, max_size=6), st.lists(st.integers(0, 9), max_size=3), max_size=40), st.lists(st.binary(max_size=7), max_size=20))
 def test_automaton(tmp_path_factory, words, others):
     path = str(tmp_path_factory.mktemp("a") / "x")
-    e.save_automaton(e.build_automaton(list(words.items())), path)
+    with open(path, "wb") as f:
+        e.save_automaton(e.build_automaton(list(words.items())), f)
     lex = e.Lexicon(path)
     ask = [*words, *others]
     starts, ids = lex.a["starts"], lex.a["ids"]
