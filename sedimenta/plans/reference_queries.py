@@ -128,7 +128,7 @@ def voice_metrics(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query("hierarchy_ranking", f"""
 with {CANON}, a as (select category, count(*) as total, round(100 * avg(case when severity = 'reject' then 1.0 else 0.0 end), 1) as reject_rate from canon group by 1)
-select *, row_number() over (order by reject_rate desc, category) as place from a
+select *, cast(row_number() over (order by reject_rate desc, category) as int) as place from a
 """)
 def hierarchy_ranking(spark, sf_dir):  # noqa: ANN001, ANN201
     return stats.hierarchy(canon(spark, sf_dir))
@@ -280,7 +280,7 @@ def urgency(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 @query("word_count_filter", r"""
-select delivery_id, n from (select delivery_id, len(list_filter(regexp_split_to_array(coalesce(body, ''), '[\s\p{Z}\x{85}]+'), lambda w: w <> '')) as n from emails where coalesce(message_id, '') <> '') where n >= 50
+select delivery_id, cast(n as int) as n from (select delivery_id, len(list_filter(regexp_split_to_array(coalesce(body, ''), '[\s\p{Z}\x{85}]+'), lambda w: w <> '')) as n from emails where coalesce(message_id, '') <> '') where n >= 50
 """)
 def word_count_filter(spark, sf_dir):  # noqa: ANN001, ANN201
     e = table(spark, sf_dir, "emails").filter("coalesce(message_id, '') <> ''")
@@ -368,8 +368,9 @@ def location_parse(spark, sf_dir):  # noqa: ANN001, ANN201
 # Passages
 
 _PASSAGES = r"""
-p as (select doc_id, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\r', chr(10), 'g'), '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 30)) as passage,
-  generate_subscripts(list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\r', chr(10), 'g'), '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 30), 1) - 1 as pos from documents)"""
+pp as (select doc_id, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\r', chr(10), 'g'), '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 30)) as passage,
+  generate_subscripts(list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\r', chr(10), 'g'), '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 30), 1) - 1 as p0 from documents),
+p as (select doc_id, passage, cast(p0 as int) as pos from pp)"""
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -672,7 +673,7 @@ def skill_vs_baseline(spark, sf_dir):  # noqa: ANN001, ANN201
 with {_CONSENSUS}, {_SETS}, dg as (select file, place_no from p group by 1, 2 having count(distinct model) >= 2 and count(distinct severity) > 1),
 dm as (select model, count(*) as disagreements from d join dg using (file, place_no) group by 1),
 j as (select cs.model, confirmed, coalesce(gained, 0) as gained, coalesce(lost, 0) as lost, coalesce(disagreements, 0) as disagreements from cs left join ss on ss.model = cs.model left join dm on dm.model = cs.model)
-select *, confirmed + gained - lost - disagreements as score, rank() over (order by confirmed + gained - lost - disagreements desc) as place from j
+select *, confirmed + gained - lost - disagreements as score, cast(rank() over (order by confirmed + gained - lost - disagreements desc) as int) as place from j
 """)
 def verdict_score(spark, sf_dir):  # noqa: ANN001, ANN201
     p = _places(spark, sf_dir)
