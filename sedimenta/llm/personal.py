@@ -364,6 +364,8 @@ def classify(spans: DataFrame) -> DataFrame:
     total = sum(counts.values())
     draw = spans if total <= TRAINING_ROWS else spans.filter(F.pmod(F.xxhash64("tab", "row_id", "start"), F.lit(1_000_000)) < int(1_000_000 * TRAINING_ROWS / total))
     sample = draw.select("kind", "votes", *(f"f{i}" for i in range(N_FEATURES))).toPandas()
+    # the same order whatever the partitioning, then a fixed shuffle for training
+    sample = sample.sort_values(list(sample.columns)).sample(frac=1.0, random_state=42)
     slots = sample[[f"f{i}" for i in range(N_FEATURES)]].to_numpy(np.int64)
     labels = np.array([soft[(k, v)] for k, v in zip(sample["kind"], sample["votes"], strict=True)], float)
     shared = spark.sparkContext.broadcast(train(slots, labels))
