@@ -3,10 +3,14 @@ batches, and trends by event time (an extension)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sedimenta.session import shared_folder
+
 
 def arrivals(spark: SparkSession, folder: str, schema: str, fmt: str = "json", files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(folder)
@@ -36,7 +40,8 @@ def session_counts(df: DataFrame, time: str, key: str, gap: str = "30 minutes")
 
 def into_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what there is and returns its result; for tests and queries."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    at = f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:

@@ -280,3 +280,13 @@ def test_fallback_and_counters(spark):
     assert seen.get == {"records": 2, "moves": 2, "errors": 0}
     stored = spark.createDataFrame([("a", [], None)], mappers.RESULT)
     assert {x.key: x.error for x in mappers.replay(rows, "id", stored).collect()} == {"a": None, "b": "no stored result"}
+
+
+def test_windows_and_sessions(spark, tmp_path):
+    rows = [(f"2024-01-0{d} 0{h}:00:00", "a" if d % 2 else "b") for d in (1, 2) for h in (0, 1, 2)]
+    df = spark.createDataFrame(rows, "t string, k string").select(F.to_timestamp("t").alias("t"), "k")
+    df.write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    out = streams.into_memory(streams.windowed_counts(s, "t", "k"), "w1", "complete").collect()
+    assert sorted((str(r.start)[:10], r.k, r.n) for r in out) == [("2024-01-01", "a", 3), ("2024-01-02", "b", 3)]
+    assert sorted((r.k, r.n) for r in streams.session_counts(df, "t", "k", "90 minutes").collect()) == [("a", 3), ("b", 3)]
