@@ -8,6 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimenta.operators.passages import global_numbers
+
+#: Chunks of a document that one task joins.
+PART_CHUNKS = 1000
+
 _SPAN = re.compile(r'("[^"]*"|“[^”]*”|`[^`]*`)')
 _SEPARATOR = re.compile(r"^\s*\|?[\s:|-]*-{3,}[\s:|-]*\|?\s*$")
 
@@ -97,12 +102,16 @@ def patched_tail(text: Column, patch: Column, marker: str = "\n## ") -> Column:
 
 
 def merged_chunks(chunks: DataFrame, doc: str, order: str, text: str, stop: str = "## Findings") -> DataFrame:
-    """(doc, text): the chunks of each document in order, the first up to a heading. A
-    document is a handful of chunks."""
-    first = F.when(F.col("x.n") == 0, F.substring_index("x.t", stop, 1)).otherwise(F.col("x.t"))
-    rn = F.row_number().over(Window.partitionBy(doc).orderBy(order)) - 1
-    c = chunks.withColumn("x", F.struct(rn.alias("n"), F.col(text).alias("t"))).withColumn("x", F.struct("x.n", first.alias("t")))
-    return c.groupBy(doc).agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n").alias("text"))
+    """(doc, text): all chunks of each document in order, the first up to a heading. Chunks
+    are numbered by ranges and joined in parts of PART_CHUNKS, so that a document with many
+    chunks is sorted and joined by several tasks; only its finished parts meet in one row."""
+    numbers = global_numbers(chunks.select(doc, order, F.col(text).alias("__t")), [doc, order], "__no")
+    x = F.sort_array(F.collect_list(F.struct("__no", "__t")))
+    parts = numbers.groupBy(doc, F.floor(F.col("__no") / PART_CHUNKS).alias("__at")).agg(F.transform(x, lambda c: c["__t"]).alias("__ts"))
+    rest = F.filter(F.slice("__ts", 2, PART_CHUNKS), lambda t: t.isNotNull())
+    joined = parts.select(doc, F.struct("__at", F.col("__ts")[0].alias("head"), F.when(F.size(rest) > 0, F.array_join(rest, "\n")).alias("rest")).alias("__p"))
+    pieces = F.transform(F.sort_array(F.collect_list("__p")), lambda c, i: F.array(F.when(i == 0, F.substring_index(c["head"], stop, 1)).otherwise(c["head"]), c["rest"]))
+    return joined.groupBy(doc).agg(F.array_join(F.flatten(pieces), "\n").alias("text"))
 
 
 def as_prompt(df: DataFrame, columns: list[str], most: int = 1000) -> str:

@@ -815,6 +815,14 @@ def merged_chunks(spark, sf_dir):  # noqa: ANN001, ANN201
     return documents.merged_chunks(p, "source_file", "passage_id", "text", ". ")
 
 
+@query("merged_chunks_whole", """
+select source_file, string_agg(case when rn = 1 then string_split(text, '. ')[1] else text end, chr(10) order by rn) as text from
+  (select source_file, text, row_number() over (partition by source_file order by passage_id) as rn from passages where text is not null) group by 1
+""")
+def merged_chunks_whole(spark, sf_dir):  # noqa: ANN001, ANN201
+    return documents.merged_chunks(table(spark, sf_dir, "passages").filter("text is not null"), "source_file", "passage_id", "text", ". ")
+
+
 @query("json_response", "select move_id, severity, category from review_moves")
 def json_response(spark, sf_dir):  # noqa: ANN001, ANN201
     m = table(spark, sf_dir, "review_moves")

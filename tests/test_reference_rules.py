@@ -290,3 +290,17 @@ def test_windows_and_sessions(spark, tmp_path):
     out = streams.into_memory(streams.windowed_counts(s, "t", "k"), "w1", "complete").collect()
     assert sorted((str(r.start)[:10], r.k, r.n) for r in out) == [("2024-01-01", "a", 3), ("2024-01-02", "b", 3)]
     assert sorted((r.k, r.n) for r in streams.session_counts(df, "t", "k", "90 minutes").collect()) == [("a", 3), ("b", 3)]
+
+
+def test_all_chunks_of_a_document_are_merged(spark, data, monkeypatch):
+    from sedimenta.plans import reference_queries
+
+    monkeypatch.setattr(documents, "PART_CHUNKS", 3)
+    rows = [("hot", i, f"c{i}. d{i}") for i in range(1, 41)] + [("cold", 1, "only. x"), (None, 1, "a"), (None, 2, None), (None, 3, "b"), ("void", 1, None)]
+    chunks = spark.createDataFrame(rows, "doc string, id int, t string").repartition(5)
+    got = {r.doc: r.text for r in documents.merged_chunks(chunks, "doc", "id", "t", ". ").collect()}
+    assert got == {"hot": "\n".join(["c1", *(f"c{i}. d{i}" for i in range(2, 41))]), "cold": "only", None: "a\nb", "void": ""}
+    want = spark.read.parquet(f"{data}/passages.parquet").filter("text is not null")
+    whole = reference_queries.registry.queries["merged_chunks_whole"](spark, data)
+    per_source = {r.source_file: r["count"] for r in want.groupBy("source_file").count().collect()}
+    assert max(per_source.values()) > 5 and {r.source_file: r.text.count("\n") + 1 >= per_source[r.source_file] for r in whole.collect()} == dict.fromkeys(per_source, True)
