@@ -73,6 +73,19 @@ def decode(raw: bytes, codec: str) -> str | None:
         return None
 
 
+def decode_between(raw: bytes, codec: str, left: bool, right: bool) -> tuple[str, int, int] | None:
+    """(text, bytes cut off at the start, at the end): as decode, but where a lost character
+    stands beside, a sequence that it broke is cut off, the fewest bytes that are enough."""
+    for n in range(7 if codec in MULTI else 1):
+        for i in range(max(0, n - 3), min(n, 3) + 1):
+            j = n - i
+            if (i and not left) or (j and not right) or n >= len(raw):
+                continue
+            if (out := decode(raw[i : len(raw) - j], codec)) is not None:
+                return out, i, j
+    return None
+
+
 def code_points(text: str) -> np.ndarray:
     """Code points, line ends as blanks: where a line was wrapped tells nothing."""
     return np.frombuffer(text.replace("\n", " ").replace("\r", " ").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -192,22 +205,28 @@ class Model:
     def rough(self, text: str) -> float:
         return sum(map(self.logs.__getitem__, text))
 
-    def mappings(self, text: str, left: str) -> list[tuple[str, bool]]:
+    def mappings(self, text: str, left: str, right: str = "") -> list[tuple[str, bool, tuple[str, str]]]:
         """What text may have been, by any pair of codecs, the likeliest by their characters
-        first; and whether it was UTF-8."""
-        options: dict[str, tuple[float, bool]] = {}
+        first; whether it was UTF-8; and what of text stands for it, where a lost character
+        beside it broke a sequence."""
+        options: dict[str, tuple[float, bool, tuple[str, str]]] = {}
         for wrong in WRONG:
             raw = encode(text, wrong)
             if raw is None:
                 continue
             for meant in (*MULTI, *SINGLE):
-                if meant != wrong and (wrong, meant) != ("cp1252", "latin-1") and (out := decode(raw, meant)) is not None:
-                    out = out.lstrip("\ufeff")
-                    if out != text and out not in options:
-                        options[out] = self.rough(out), meant == "utf-8"
+                if meant != wrong and (wrong, meant) != ("cp1252", "latin-1") and (got := decode_between(raw, meant, left == LOST, right == LOST)) is not None:
+                    out = got[0].lstrip("\ufeff")
+                    if out and out != text and out not in options:
+                        options[out] = self.rough(out), meant == "utf-8", _without(text, wrong, got[1], got[2])
         if text.startswith(("þÿ", "ÿþ")) and left == BOUND:
-            options[text[2:]] = self.rough(text[2:]), False
-        return [(out, options[out][1]) for out in sorted(options, key=options.__getitem__, reverse=True)[: 40 if len(text) <= 4 else 6]]
+            options[text[2:]] = self.rough(text[2:]), False, (text, text)
+        return [(out, *options[out][1:]) for out in sorted(options, key=lambda x: options[x][0], reverse=True)[: 40 if len(text) <= 4 else 6]]
+
+    def beside(self, text: str, left: str, right: str) -> float:
+        """Likelihood of text between its neighbours. A lost character tells nothing."""
+        alone = "" if right == LOST else right
+        return self.rough(text[:1]) + self.likelihood(text + alone) if left == LOST else self.likelihood(left + text + alone)
 
     def restored(self, text: str, left: str, right: str, before: str = "", behind: str = "") -> tuple[float, str] | None:
         """(gain, text as it was meant), or None if no mapping makes it much likelier. Only
@@ -215,17 +234,23 @@ class Model:
         key = (left + right + before + behind, text, "")
         if key in self.seen:
             return self.seen[key]
-        was = self.likelihood(left + text + right)
-        best, now = (0.0, text), [text]
+        best, now = (0.0, text), [(text, (text, text))]
+        was: dict[tuple[str, str], float] = {}
         for _ in range(DEPTH):
             again = []
-            for one in now:
-                for out, utf8 in self.mappings(one, left):
-                    gain = self.likelihood(left + out + right) - was
+            for one, stood in now:
+                for out, utf8, kept in self.mappings(one, left, right):
+                    # bytes that were cut off are no gain
+                    of = stood if kept == (one, one) else kept if one == text else None
+                    if of is None:
+                        continue
+                    if of not in was:
+                        was[of] = (self.beside(of[0], left, right) + self.beside(of[1], left, right)) / 2
+                    gain = self.beside(out, left, right) - was[of]
                     if gain > best[0] and fits(out, left, right, before or left, behind or right):
                         best = gain, out
                     if utf8:
-                        again.append(out)
+                        again.append((out, of))
             if not again:
                 break
             now = again
@@ -235,6 +260,21 @@ class Model:
         return out
 
 
+def _without(text: str, codec: str, start: int, end: int) -> tuple[str, str]:
+    """text without the characters that hold bytes cut off at its ends, and without those
+    only that are cut off whole."""
+    i, j, a, b = 0, len(text), 0, len(text)
+    while start > 0 and i < j:
+        start -= len(encode(text[i], codec) or b"?")
+        i += 1
+        a = i if start >= 0 else a
+    while end > 0 and i < j:
+        j -= 1
+        end -= len(encode(text[j], codec) or b"?")
+        b = j if end >= 0 else b
+    return text[i:j], text[a:b]
+
+
 def maximal_segments(x: list[float]) -> list[tuple[int, int]]:
     """All maximum-scoring segments [i, j) of x, in linear time: those whose sum no
     extension and no cut improves."""
@@ -321,6 +361,18 @@ def _lines(text: str, i: int, j: int) -> list[tuple[int, int]]:
     return out
 
 
+def _intact(text: str, i: int, j: int) -> list[tuple[int, int]]:
+    """Stretches of text[i:j] between lost characters."""
+    out = []
+    while i < j:
+        e = text.find(LOST, i, j)
+        e = j if e < 0 else e
+        if i < e:
+            out.append((i, e))
+        i = e + 1
+    return out
+
+
 def repaired(model: Model, text: str, x: np.ndarray) -> tuple[str, int, bool]:
     """(restored text, runs restored, whether something is lost). x: improbability of the
     pairs of a bound, text and a bound."""
@@ -364,7 +416,7 @@ def repaired(model: Model, text: str, x: np.ndarray) -> tuple[str, int, bool]:
             upto = best[2]
             continue
         # a run of several lines may be damaged in some, and a line in some of its parts
-        for la, lb in _lines(text, i, j):
+        for la, lb in [x for a, b in _intact(text, i, j) for x in _lines(text, a, b)]:
             ends = [(la, lb), (la, lb + 1)] if lb < len(text) and "@" <= text[lb] <= "~" else [(la, lb)]
             whole = [(out[0], a, b, out[1]) for a, b in ends if b - a < j - i and (out := attempt(a, b))]
             if whole:

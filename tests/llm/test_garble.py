@@ -82,3 +82,21 @@ def test_maximal_segments_against_brute_force():
         assert sorted(sum(x[a:b]) for a, b in got) == sorted(sum(x[a:b]) for a, b in brute(x, 0, len(x)))
     long = g.maximal_segments([1.0, -3.0] * 200_000)
     assert len(long) == 200_000
+
+
+def test_stretches_between_lost_characters():
+    texts = [SAMPLES[k] * 3 for k in SAMPLES] * 400
+    n = np.zeros((1 << g.PAIR_BITS) + (1 << g.CHAR_BITS), np.int64)
+    cp = g.code_points(g.BOUND.join(texts) + g.BOUND)
+    np.add.at(n, g.pair_slots(cp[:-1], cp[1:]), 1)
+    np.add.at(n, g.char_slots(cp).astype(np.int64) + (1 << g.PAIR_BITS), 1)
+    used = np.flatnonzero(n)
+    model = g.Model(used, n[used])
+    bad = SAMPLES["zh"].encode().decode("gbk", "replace")
+    assert g.LOST in bad
+    new, runs, lost = g.repaired(model, bad, model.improbability(g.code_points(g.BOUND + bad + g.BOUND)))
+    assert runs and lost and "径会泄漏内存" in new and "没有人注意到。缓冲区过于复杂" in new
+    # what stays between two lost characters is neither dropped nor made up
+    assert g.decode_between("错误".encode()[1:-1], "utf-8", True, True) is None
+    assert g.decode_between("错误路".encode()[1:-1], "utf-8", True, True) == ("误", 2, 2)
+    assert g.decode_between("错误路".encode()[1:-1], "utf-8", False, True) is None
