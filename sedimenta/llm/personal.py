@@ -51,7 +51,14 @@ _ADDRESSES = [
     rf"(?:Calle|Avenida|Avda\.|Plaza|Paseo|C/){_W}[\w'’-]+{_W}\d+,{_W}\d+[^\s,]{{1,6}}{_W}[A-Z]{{1,3}},{_W}\d{{5}}{_W}{_CITY}",
 ]
 ADDRESS = re.compile("|".join(f"(?<![\\w-])(?:{a})" for a in _ADDRESSES))
-_ADDRESS_HINTS = ("Box", "Ave.", "St.", "Rd.", "Close", "Street", "Road", "Lane", "Court", "Blvd", "Avenue", "rue", "Calle", "weg", "stra", "Avenida", "Drive", "Square", "gasse", "platz")
+#: A fixed part of each alternative: texts without any hold no address.
+_ADDRESS_HINTS = (
+    *("Box", "Flat", "Unit", "Apt", "Suite"),
+    *("Street", "St.", "Road", "Rd.", "Lane", "Close", "Court", "Blvd", "Boulevard", "Ave", "Drive", "Way", "Square", "Place"),
+    *("stra", "str.", "weg", "gasse", "platz", "allee"),
+    *("rue", "avenue", "boulevard", "place", "chemin", "quai"),
+    *("Calle", "Avda.", "Plaza", "Paseo", "C/"),
+)
 
 # How numbers of persons are written.
 IDENTITY = re.compile(
@@ -67,6 +74,8 @@ _NUMBERISH = re.compile(r"[+(]?\d[\d() /.-]{4,}\d|[A-Z]\d[A-Z0-9]\d|\d{4}[A-Z]\b
 _DISGUISED = re.compile(
     rf"(?<![\w.+-])[\w.+-]+{_W}?(?:\(at\)|\[at\]|\{{at\}}|<at>|{_W}at{_W}){_W}?[\w-]+(?:(?:\.|{_W}?(?:\(dot\)|\[dot\]|{_W}dot{_W}){_W}?)[A-Za-z][\w-]*)+", re.I
 )
+#: What tells a disguised address from running text.
+_DISGUISE = re.compile(r"[(\[{<]at[)\]}>]|\bdot\b", re.I)
 _LOCAL = re.compile(r"[\w.+-]+$")
 _DOMAIN = re.compile(r"(?:[\w-]+\.)+[A-Za-z][\w-]*")
 _HARDBREAK = re.compile(r"[\w.+-]*-[ \t]*\r?\n(?:[A-Z]{1,3}> ?|[>|] ?)*$")
@@ -174,9 +183,9 @@ class Labelers:
                         made = True
                     add("email", a, b, 1, known, "plain", -1 if made else 0)
             at = text.find("@", at + 1)
-        if "(at)" in text or "[at]" in text or " dot " in text or "dot\n" in text or "\ndot" in text:
+        if _DISGUISE.search(text):
             for m in _DISGUISED.finditer(text):
-                if free(m.start(), m.end()) and re.search(r"[(\[{<]at|\bdot\b", m[0]):
+                if free(m.start(), m.end()) and _DISGUISE.search(m[0]):
                     known = 1 if any(len(w) > 2 and w in self.lowered for w in re.split(r"[\W\d_]+", m[0].lower())) else 0
                     add("email", m.start(), m.end(), 1, known, "disguised")
         if _NUMBERISH.search(text):

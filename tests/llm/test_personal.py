@@ -64,3 +64,21 @@ def test_long_text_is_linear():
     t = time.time()
     spans = lab.spans("Ask Zoë Marby at ann.lee@x.example or +1 (202) 555-0138. " * 8000)
     assert len(spans) == 24000 and time.time() - t < 20
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "mention"),
+    [
+        ("Send it to 12, avenue Victor, 75016 Paris now", "address", "12, avenue Victor, 75016 Paris"),
+        ("Send it to Paseo Mayor 12, 3º B, 28001 Madrid now", "address", "Paseo Mayor 12, 3º B, 28001 Madrid"),
+        ("Send it to 12 Copper Way, Norhafen 25466 now", "address", "12 Copper Way, Norhafen 25466"),
+        ("Send it to Lindenallee 7, 25466 Thalby now", "address", "Lindenallee 7, 25466 Thalby"),
+        ("Mail ann.lee {at} y.example now", "email", "ann.lee {at} y.example"),
+        ("Mail ann.lee (AT) y [DOT] example now", "email", "ann.lee (AT) y [DOT] example"),
+        ("Mail ann.lee <at> y(dot)example now", "email", "ann.lee <at> y(dot)example"),
+    ],
+)
+def test_no_prefilter_is_narrower_than_its_pattern(text, kind, mention):
+    at = text.index(mention)
+    found = p.Labelers(GIVEN, FAMILY).spans(text)
+    assert (at, at + len(mention), p.KINDS.index(kind)) in [x[:3] for x in found]
