@@ -48,13 +48,9 @@ def word_count(c: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")), F.lit(0))
 
 
-def year_text(c: Column) -> Column:
-    """First four characters of a date, or unknown."""
-    return F.when(c.isNull() | (c == ""), "unknown").otherwise(F.left(c, F.lit(4)))
-
-
-def year_number(c: Column) -> Column:
-    return F.when(c.rlike(r"^\d{4}"), F.left(c, F.lit(4)).try_cast("int"))
+def year_text(instant: Column) -> Column:
+    """The year in UTC of microseconds since 1970, four digits, or unknown."""
+    return F.coalesce(F.date_format(F.timestamp_micros(instant), "yyyy"), F.lit("unknown"))
 
 
 def first_integer(c: Column) -> Column:

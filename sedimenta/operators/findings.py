@@ -148,8 +148,10 @@ def score_sets(with_: DataFrame, without: DataFrame) -> DataFrame:
     return j.groupBy("model").agg(F.count_if(F.col("b").isNull()).alias("gained"), F.count_if(F.col("w").isNull()).alias("lost"), F.count_if(F.col("w").isNotNull() & F.col("b").isNotNull()).alias("both"))
 
 
-def render(report: DataFrame, title: str) -> str:
-    """A small table as Markdown; for reports of some rows a model, on the driver."""
-    cols = report.columns
-    out: Iterator[str] = (f"| {' | '.join('' if v is None else str(v) for v in r)} |" for r in report.limit(1000).collect())
+def render(report: DataFrame, title: str, most: int = 1000) -> str:
+    """A small table as Markdown, for reports of some rows a model; a longer one raises."""
+    rows, cols = report.take(most + 1), report.columns
+    if len(rows) > most:
+        raise ValueError(f"{title} has more than {most} rows")
+    out: Iterator[str] = (f"| {' | '.join('' if v is None else str(v) for v in r)} |" for r in rows)
     return "\n".join([f"## {title}", "", f"| {' | '.join(cols)} |", f"|{'---|' * len(cols)}", *out, ""])

@@ -5,22 +5,31 @@ fixed offset, a zone of the tz database, or nothing, in which case a zone column
 Local times of named zones are looked up as of the zone's offset intervals, exploded to one
 row per zone and local year that holds the few intervals touching that year. Two intervals
 that hold the local time mean that it is ambiguous: the first one counts. None means that it
-was skipped: the offset before the change counts. One gives the offset directly.
+was skipped: the offset before the change counts. One gives the offset directly. A status
+column tells these apart.
 
 Defined results: null for null, empty and meaningless strings, impossible dates, dates
-without a time of day, and local times with neither zone nor zone column.
+without a time of day, and local times with neither zone nor zone column. Later years than
+are tabulated have the offsets of a tabulated year with the same calendar, earlier ones that
+of the first tabulated moment.
 """
 
 from __future__ import annotations
 
+import uuid
+from calendar import isleap
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Years for which named zones are tabulated.
-FIRST_YEAR, LAST_YEAR = 1970, 2069
+from sedimenta.session import shared_folder
+
+#: Years for which named zones are tabulated. The last 28 hold every calendar a year can have.
+FIRST_YEAR, LAST_YEAR = 1900, 2099
+#: Status of an instant: what fixed its offset.
+STATED, UNIQUE, AMBIGUOUS, NONEXISTENT = "stated", "unique", "ambiguous", "nonexistent"
 
 # Month names of the languages in which mail programs write dates.
 MONTHS = {
@@ -153,16 +162,54 @@ def zone_intervals(spark: SparkSession) -> DataFrame:
     return spans.groupBy("zone", "year").agg(F.array_sort(F.collect_list(F.struct("a", "b", "east"))).alias("spans"))
 
 
-def to_utc(df: DataFrame, text: str, zone: str, out: str = "utc_us") -> DataFrame:
-    """df with the instant that text states, in microseconds since 1970 in UTC, or null."""
+_tables: dict[str, str] = {}
+
+
+def zone_table(spark: SparkSession) -> DataFrame:
+    """zone_intervals, made once for each application and kept in the shared folder."""
+    app = spark.sparkContext.applicationId
+    if app not in _tables:
+        path = f"{shared_folder(spark).rstrip('/')}/zones-{uuid.uuid4().hex}"
+        zone_intervals(spark).coalesce(1).write.parquet(path)
+        _tables[app] = path
+    return spark.read.schema("zone string, year int, spans array<struct<a:bigint,b:bigint,east:int>>").parquet(_tables[app])
+
+
+def _tabulated(local: Column) -> Column:
+    """A clock time with the same offset in the years that are tabulated."""
+    year = F.year(F.timestamp_micros(local))
+    calendars = {}
+    for y in range(LAST_YEAR - 27, LAST_YEAR + 1):
+        first = date(y, 1, 1)
+        calendars[first.isoweekday() % 7 + 1 + (10 if isleap(y) else 0)] = first.toordinal() - date(1970, 1, 1).toordinal()
+    first = F.make_date(year, F.lit(1), F.lit(1))
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    same = F.try_element_at(_lookup(calendars), F.dayofweek(first) + F.when(leap, 10).otherwise(0))
+    start = int((datetime(FIRST_YEAR, 1, 1) - datetime(1970, 1, 1)).total_seconds()) * 1000000
+    later = local + (same - F.unix_date(first)).cast("bigint") * 86400000000
+    return F.when(year > LAST_YEAR, later).otherwise(F.greatest(local, F.lit(start)))
+
+
+def to_utc(df: DataFrame, text: str, zone: str, out: str = "utc_us", status: str | None = None) -> DataFrame:
+    """df with the instant that text states, in microseconds since 1970 in UTC, or null, and
+    if asked its status: stated (by the string), unique, ambiguous or nonexistent."""
     t = F.col("__t")
     df = parsed(df, text, zone).withColumn("__zone", F.when(t["offset"].isNull() & t["epoch"].isNull(), t["zone"]))
-    df = df.withColumn("__year", F.year(F.timestamp_micros(t["local"])))
-    table = F.broadcast(zone_intervals(df.sparkSession).select(F.col("zone").alias("__z"), F.col("year").alias("__y"), F.col("spans").alias("__spans")))  # fixed size
+    df = df.withColumn("__at", F.when(F.col("__zone").isNotNull(), _tabulated(t["local"]))).withColumn("__year", F.year(F.timestamp_micros("__at")))
+    table = F.broadcast(zone_table(df.sparkSession).select(F.col("zone").alias("__z"), F.col("year").alias("__y"), F.col("spans").alias("__spans")))  # fixed size
     df = df.join(table, (F.col("__zone") == F.col("__z")) & (F.col("__year") == F.col("__y")), "left")
-    local = t["local"]
-    hold = F.filter("__spans", lambda s: (s["a"] <= local) & (local < s["b"]))
-    before = F.try_element_at(F.filter("__spans", lambda s: s["b"] <= local), F.lit(-1))["east"]
+    at = F.col("__at")
+    hold = F.filter("__spans", lambda s: (s["a"] <= at) & (at < s["b"]))
+    before = F.try_element_at(F.filter("__spans", lambda s: s["b"] <= at), F.lit(-1))["east"]
     # Of two offsets that fit, the larger one is that of the earlier instant.
     east = F.when(F.size(hold) > 0, F.array_max(F.transform(hold, lambda s: s["east"]))).otherwise(before)
-    return df.withColumn(out, F.coalesce(t["epoch"], local - F.coalesce(t["offset"], east).cast("bigint") * 1000000)).drop("__t", "__zone", "__year", "__z", "__y", "__spans")
+    df = df.withColumn(out, F.coalesce(t["epoch"], t["local"] - F.coalesce(t["offset"], east).cast("bigint") * 1000000))
+    if status:
+        by = F.when(F.col("__zone").isNull(), STATED).when(F.size(hold) > 1, AMBIGUOUS).when(F.size(hold) == 1, UNIQUE).otherwise(NONEXISTENT)
+        df = df.withColumn(status, F.when(F.col(out).isNotNull(), by))
+    return df.drop("__t", "__zone", "__at", "__year", "__z", "__y", "__spans")
+
+
+def year_of(instant: Column) -> Column:
+    """The year in UTC of microseconds since 1970; null stays null."""
+    return F.year(F.timestamp_micros(instant))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FIELDS = ["trigger", "principle", "response", "severity", "category"]
@@ -14,17 +14,24 @@ RECORD_MOVES = 100
 
 
 def nest(moves: DataFrame, key: str = "email_message_id", order: str = "move_id") -> DataFrame:
-    """(key, part, moves): records of at most RECORD_MOVES ids with their moves in order, so
-    that a digest that holds a share of the corpus is many records."""
+    """(key, part, first, moves): records of at most RECORD_MOVES ids with their moves in
+    order, so that a digest that holds a share of the corpus is many records. first is the
+    position, among all moves of the key, of the record's first one."""
     part = F.floor(F.col(order) / RECORD_MOVES).alias("part")
-    return moves.groupBy(key, part).agg(F.sort_array(F.collect_list(F.struct(order, *FIELDS))).alias("moves"))
+    records = moves.groupBy(key, part).agg(F.sort_array(F.collect_list(F.struct(order, *FIELDS))).alias("moves"))
+    # a row a record passes through the sum, without its moves
+    sizes = moves.groupBy(F.col(key).alias("__key"), part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    first = sizes.select("__key", "__part", F.coalesce(before, F.lit(0)).cast("int").alias("first"))
+    return records.join(first, F.col(key).eqNullSafe(F.col("__key")) & (F.col("part") == F.col("__part"))).select(key, "part", "first", "moves")
 
 
 def flatten(records: DataFrame, keys: list[str], lenient: bool = True, source: str | None = None) -> DataFrame:
     """One row for each move. Lenient: fields that a record lacks are null and a quote stands
     in for a missing response. Strict: rows with a null field raise."""
     kinds = {f.name for f in records.schema["moves"].dataType.elementType.fields}
-    m = records.select(*keys, F.posexplode("moves").alias("move_no", "m"))
+    first = F.col("first") if "first" in records.columns else F.lit(0)
+    m = records.select(*keys, first.alias("__first"), F.posexplode("moves").alias("__pos", "m")).withColumn("move_no", F.col("__first") + F.col("__pos"))
     get = lambda f: F.col(f"m.{f}") if f in kinds else F.lit(None).cast("string")
     cols = {f: get(f) for f in FIELDS}
     if lenient:
@@ -46,12 +53,13 @@ def canonicalise(moves: DataFrame, category: Column, severity: Column, keep_unkn
 
 def migrate(records: DataFrame, remap: dict[str, str], fixes: dict[tuple[str, int], str] | None = None, key: str = "email_message_id") -> DataFrame:
     """Records with categories renamed inside their moves and the number of moves changed.
-    fixes name the category of a move by record key and position."""
+    fixes name the category of a move by record key and position among the key's moves."""
+    first = F.col("first") if "first" in records.columns else F.lit(0)
     pairs = F.create_map(*[F.lit(x) for kv in remap.items() for x in kv])
     fixed = F.create_map(*[F.lit(x) for (k, i), v in (fixes or {("", -1): ""}).items() for x in (f"{k}#{i}", v)])
 
     def one(m: Column, i: Column) -> Column:
-        to = F.coalesce(F.try_element_at(fixed, F.concat(F.col(key), F.lit("#"), i.cast("string"))), F.try_element_at(pairs, m["category"]), m["category"])
+        to = F.coalesce(F.try_element_at(fixed, F.concat(F.col(key), F.lit("#"), (first + i).cast("string"))), F.try_element_at(pairs, m["category"]), m["category"])
         return m.withField("category", to)
 
     new = F.transform("moves", one)

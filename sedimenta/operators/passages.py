@@ -38,6 +38,16 @@ def global_numbers(df: DataFrame, order: list[Column | str], name: str = "no") -
     return ranged.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
 
 
+def running_total(df: DataFrame, order: list[Column | str], value: str, name: str) -> DataFrame:
+    """df with the sum of a value up to each row of a total order, added up within ranges of
+    the order and moved by the ranges before."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy("__part").agg(F.sum(value).alias("__sum"))
+    before = sums.select("__part", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # one row a range
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return ranged.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
+
+
 def passage_ids(passages: DataFrame, id_: str) -> DataFrame:
     """passages with passage_id `source-001`, counted over all files, never cut off."""
     return global_numbers(passages, [id_, "pos"]).withColumn("passage_id", F.format_string("source-%03d", "no")).drop("no")

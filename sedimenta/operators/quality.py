@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.functions.text import word_count
+from sedimenta.functions.text import bound, word_count
 
+#: Quotations and code.
 QUOTED = r'"[^"]*"|“[^”]*”|`[^`]*`'
+#: Lines that quote, blanks before the mark left out.
+QUOTED_LINE = r"^\s*> .*\S"
 
 
 def violations(df: DataFrame, id_: str, rules: list[tuple[str, Column]]) -> DataFrame:
@@ -67,19 +70,25 @@ def doc_lines(docs: DataFrame, id_: str, text: str) -> DataFrame:
     return docs.select(id_, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
+def unquoted(line: Column) -> Column:
+    """A line without quotations in straight quotes, then in curly ones, then code."""
+    for span in QUOTED.split("|"):
+        line = F.regexp_replace(line, span, "")
+    return line
+
+
 def term_hits(lines: DataFrame, id_: str, terms: list[str]) -> DataFrame:
-    """(id, line_no, term) of terms that a line holds outside quotations; quoted lines (`> `)
-    are exempt. The list of terms is a parameter, matched within the row."""
-    bare = F.lower(F.regexp_replace("line", QUOTED, ""))
-    found = F.array_compact(F.array(*[F.when(bare.contains(t.lower()), F.lit(t)) for t in terms]))
-    return lines.filter(~F.startswith("line", F.lit("> "))).select(id_, "line_no", F.explode(found).alias("term"))
+    """(id, line_no, term) of terms that a line holds outside quotations, letter case
+    counting; quoted lines (`> `) are exempt. Terms are matched within the row."""
+    found = lambda bare: F.array_compact(F.array(*[F.when(bare.contains(t), F.lit(t)) for t in terms]))
+    return lines.filter(~F.col("line").rlike(QUOTED_LINE)).select(id_, "line_no", F.explode(bound(unquoted(F.col("line")), found)).alias("term"))
 
 
 def table_lines(lines: DataFrame, id_: str) -> DataFrame:
     """(id, line_no, line, header) of Markdown tables: the separator and the line above."""
     w = Window.partitionBy(id_).orderBy("line_no")
     with_before = lines.withColumn("header", F.lag("line").over(w))
-    return with_before.filter(F.col("line").rlike(r"^\s*\|.*\|") & F.col("line").contains("---")).select(id_, "line_no", "line", "header")
+    return with_before.filter(F.col("line").rlike(r"^\s*\|.*\|---.*\|")).select(id_, "line_no", "line", "header")
 
 
 def document_checks(docs: DataFrame, id_: str, text: str, sections: list[str], placeholders: list[str], least_words: int = 1500, most_words: int = 15000, quotes: int = 10) -> DataFrame:
@@ -97,10 +106,11 @@ def document_checks(docs: DataFrame, id_: str, text: str, sections: list[str], p
     return docs.select(id_, each).select(id_, "x.label", "x.passed")
 
 
-def archive_integrity(emails: DataFrame, author: Column) -> DataFrame:
-    """One row of counters; the archive is sound if the first four are zero."""
+def archive_integrity(emails: DataFrame, author: Column, instant: str = "utc_us") -> DataFrame:
+    """One row of counters; the archive is sound if the first four are zero. A date that
+    states no instant is missing."""
     empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     return emails.agg(
-        F.count_if(empty("from_email")).alias("missing_from"), F.count_if(empty("date")).alias("missing_date"), F.count_if(empty("message_id")).alias("missing_id"),
+        F.count_if(empty("from_email")).alias("missing_from"), F.count_if(F.col(instant).isNull()).alias("missing_date"), F.count_if(empty("message_id")).alias("missing_id"),
         F.count_if(~F.coalesce(author, F.lit(False))).alias("other_authors"), F.count("*").alias("messages"),
     )

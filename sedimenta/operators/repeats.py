@@ -3,8 +3,10 @@
 Only identifier, delivery order and file-row position are shuffled. The smallest
 (order, file, row) of an identifier is found by a partially aggregated minimum, so an
 identifier that holds a third of all rows is reduced to one row per map task before the
-shuffle. The winners become bitmaps, one bit per row of a file; what a file holds besides
-its winners is deleted while the wide rows are read, which are never shuffled.
+shuffle. The winners become one vector of bits for each file, written into the shared folder;
+whoever reads rows of a file opens that file's vector and deletes what has an identifier but
+no bit. Wide rows pass from the scan through that filter: they are joined with nothing and
+shuffled nowhere, however many files and rows there are.
 
 Defined results: rows whose identifier is null, empty or blank repeat nothing and stay, as
 do rows with any other key column null; of rows that agree in the delivery order too, the
@@ -13,17 +15,20 @@ first by file and row stays; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.session import cut
+from sedimenta.session import shared_folder
 
-#: Rows that one bitmap covers (fixed by Spark's bitmap functions), and bytes it takes.
+#: Rows that one stretch of a vector covers (fixed by Spark's bitmap functions), and its bytes.
 BITMAP_ROWS, BITMAP_BYTES = 32768, 4096
-#: Bitmaps are broadcast up to so many bytes; beyond, they are joined by shuffle.
-BROADCAST_BYTES = 64 << 20
 
 _FILE, _ROW, _PART, _BITS = "__file", "__row", "__part", "__bits"
 
@@ -51,28 +56,86 @@ def positions(spark: SparkSession, s: Source) -> DataFrame:
     )
 
 
-def _located(df: DataFrame) -> DataFrame:
-    return df.withColumn(_PART, F.expr(f"bitmap_bucket_number({_ROW} + 1)"))
-
-
 def winner_bitmaps(narrow: DataFrame, n_keys: int) -> DataFrame:
-    """(file, part, bits): a bit for each row that stays although it has an identifier."""
+    """(file, part, bits): a bit for each row that stays although it has an identifier. Files
+    are named by the hash of their path."""
     keys = [f"k{i}" for i in range(n_keys)]
     named = narrow.dropna(subset=keys)
-    won = named.groupBy("tab", *keys).agg(F.min(F.struct("row_id", _FILE, _ROW)).alias("w")).select(F.col(f"w.{_FILE}").alias(_FILE), F.col(f"w.{_ROW}").alias(_ROW))
-    return _located(won).groupBy(_FILE, _PART).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({_ROW} + 1))").alias(_BITS))
-
-
-def _bit() -> Column:
-    at = f"cast(bitmap_bit_position({_ROW} + 1) as int)"
-    return F.expr(f"(shiftright(cast(conv(hex(substring({_BITS}, {at} div 8 + 1, 1)), 16, 10) as int), {at} % 8) & 1) = 1")
-
-
-def _with_bits(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """rows with their bitmap. It is broadcast if all bitmaps fit, else both sides are
-    partitioned by file part."""
-    small = bitmaps.count() * BITMAP_BYTES <= BROADCAST_BYTES
-    return _located(rows).join(F.broadcast(bitmaps) if small else bitmaps, [_FILE, _PART], "left")
+    won = named.groupBy("tab", *keys).agg(F.min(F.struct("row_id", _FILE, _ROW)).alias("w"))
+    won = won.select(F.xxhash64(f"w.{_FILE}").alias(_FILE), F.col(f"w.{_ROW}").alias(_ROW)).withColumn(_PART, F.expr(f"bitmap_bucket_number({_ROW} + 1)"))
+    return won.groupBy(_FILE, _PART).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({_ROW} + 1))").alias(_BITS))
+
+
+def _filesystem(folder: str):  # noqa: ANN202
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else "file://" + folder.removeprefix("file:"))
+
+
+def write_vectors(bitmaps: DataFrame) -> str:
+    """Write the stretches of each file's vector one after the other into a file of the shared
+    folder; returns the folder. A task that runs again writes the same."""
+    folder = f"{shared_folder(bitmaps.sparkSession).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _filesystem(folder)
+        files.create_dir(root, recursive=True)
+        out, name, upto, mine = None, None, 0, f"{root}/.{uuid.uuid4().hex}"
+        for batch in batches:
+            for file, part, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file != name:
+                    if out is not None:
+                        out.close()
+                        files.move(mine, f"{root}/{name}")
+                    out, name, upto = files.open_output_stream(mine), file, 0
+                part -= 1  # stretches count from 1
+                for _ in range(upto, part):
+                    out.write(bytes(BITMAP_BYTES))
+                out.write(bits)
+                upto = part + 1
+        if out is not None:
+            out.close()
+            files.move(mine, f"{root}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([name or 0], pa.int64())], ["file"])
+
+    b = bitmaps.select(_FILE, _PART, _BITS).repartition(_FILE).sortWithinPartitions(_FILE, _PART)
+    b.mapInArrow(write, "file long").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+_opened: dict[tuple[str, int], np.ndarray] = {}
+
+
+def _vector(folder: str, file: int) -> np.ndarray:
+    """Bits of a file; a file without winners has none. The last one stays open."""
+    if (folder, file) not in _opened:
+        files, root = _filesystem(folder)
+        try:
+            with files.open_input_stream(f"{root}/{file}") as f:
+                data = np.frombuffer(f.read(), np.uint8)
+        except FileNotFoundError:
+            data = np.zeros(0, np.uint8)
+        _opened.clear()
+        _opened[folder, file] = data
+    return _opened[folder, file]
+
+
+def stays(folder: str) -> Column:
+    """Whether the row at a position (columns file and row) has a bit. Only the position
+    leaves the JVM; the other columns of a row wait there."""
+
+    @F.pandas_udf("boolean")
+    def has_bit(file: pd.Series, row: pd.Series) -> pd.Series:
+        at, out = row.to_numpy(np.int64), np.zeros(len(row), bool)
+        names = file.to_numpy(np.int64)
+        for name in np.unique(names):
+            mine = np.flatnonzero(names == name)
+            bits = _vector(folder, int(name))
+            inside = mine[at[mine] >> 3 < len(bits)]
+            out[inside] = (bits[at[inside] >> 3] >> (at[inside] & 7)) & 1 == 1
+        return pd.Series(out)
+
+    return has_bit(F.xxhash64(_FILE), F.col(_ROW))
 
 
 def find_repeats(spark: SparkSession, sources: list[Source]) -> DataFrame:
@@ -84,18 +147,17 @@ def find_repeats(spark: SparkSession, sources: list[Source]) -> DataFrame:
         for i in range(len(s.keys), most):
             p = p.withColumn(f"k{i}", F.lit(""))
         narrow = p if narrow is None else narrow.unionByName(p)
-    bitmaps = cut(winner_bitmaps(narrow, most))
+    folder = write_vectors(winner_bitmaps(narrow, most))
     named = narrow.dropna(subset=[f"k{i}" for i in range(most)]).select("tab", "row_id", _FILE, _ROW)
-    return _with_bits(named, bitmaps).filter(F.coalesce(~_bit(), F.lit(True))).select("tab", "row_id")
+    return named.filter(~stays(folder)).select("tab", "row_id")
 
 
 def drop_repeats(spark: SparkSession, s: Source) -> DataFrame:
-    """The table with one copy of each record. Wide rows pass from the scan through a
-    filter by their file's bitmaps."""
-    bitmaps = cut(winner_bitmaps(positions(spark, s), len(s.keys)))
+    """The table with one copy of each record."""
+    folder = write_vectors(winner_bitmaps(positions(spark, s), len(s.keys)))
     raw = spark.read.parquet(s.path)
     named = F.lit(True)
     for k in s.keys:
         named &= k.isNotNull()
     wide = raw.select("*", named.alias("__named"), F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_ROW))
-    return _with_bits(wide, bitmaps).filter(~F.col("__named") | F.coalesce(_bit(), F.lit(False))).select(*raw.columns)
+    return wide.withColumn("__stays", stays(folder)).filter("not __named or __stays").select(*raw.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions import labels, text
-from sedimenta.operators import documents, mappers, moves, passages, sampling, stats
+from sedimenta.operators import documents, instants, mappers, moves, passages, sampling, stats
 
 
 def classify(emails: DataFrame) -> DataFrame:
@@ -19,7 +19,8 @@ def extract(reviews: DataFrame, mapper: mappers.Mapper, out: str, sample: int =
     """Moves of reviews by a mapper, written as records. With resume, keys answered without
     error are left out and records appended; without, out is written anew."""
     spark = reviews.sparkSession
-    r = reviews.withColumn("year", text.year_text(F.col("date"))).withColumn("key", F.col("message_id"))
+    r = instants.to_utc(reviews, "date", "tz_name") if "tz_name" in reviews.columns else instants.to_utc(reviews.withColumn("tz_name", F.lit(None).cast("string")), "date", "tz_name")
+    r = r.withColumn("year", text.year_text(F.col("utc_us"))).withColumn("key", F.col("message_id"))
     if sample > 0:
         r = sampling.longest_per_year(r, "year", "body", "delivery_id", sample)
     if resume:

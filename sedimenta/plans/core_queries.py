@@ -1,4 +1,4 @@
-"""Queries over the mail archive: repeats, samples by target shares, instants."""
+"""Queries over the mail archive: repeats and instants."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions.keys import message_key
-from sedimenta.operators import allocation, instants, repeats
+from sedimenta.operators import instants, repeats
+from sedimenta.plans.instant_sql import instants as instants_sql
 from sedimenta.plans.registry import Registry
 from sedimenta.session import ship, table
 
@@ -26,15 +27,8 @@ def _key_sql(c: str) -> str:
     return f"case when {bare} = '' then null when contains({bare}, '@') then regexp_extract({bare}, '^(.*)@', 1) || '@' || lower(regexp_extract({bare}, '@([^@]*)$', 1)) else {bare} end"
 
 
-def _label_sql(c: str) -> str:
-    return rf"regexp_replace(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '^-|-$', '', 'g')"
-
-
-_FIRST_MOVES = f"""kept as (select * from (select *, {_key_sql("email_message_id")} as k,
+FIRST_MOVES = f"""kept as (select * from (select *, {_key_sql("email_message_id")} as k,
     row_number() over (partition by {_key_sql("email_message_id")}, move_no order by move_id) as rn from review_moves) where k is null or move_no is null or rn = 1)"""
-_SUPPLY = f"""{_FIRST_MOVES},
-targets as (select t.*, (select count(*) from kept m where {_label_sql("m.category")} = {_label_sql("t.category")} and {_label_sql("m.severity")} = {_label_sql("t.severity")}) as supply from sample_targets t)"""
-
 
 @registry.query("p2_found", f"""
 select 'emails' as tab, delivery_id as row_id from (select delivery_id, k, row_number() over (partition by k order by delivery_id) as rn from (select delivery_id, {_key_sql("message_id")} as k from emails)) where k is not null and rn > 1
@@ -52,37 +46,15 @@ def p2_kept_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.drop_repeats(spark, emails_source(sf_dir)).withColumn("received_at", F.unix_micros("received_at"))
 
 
-@registry.query("p2_kept_moves", f"with {_FIRST_MOVES} select * exclude (k, rn) replace (epoch_us(extracted_at) as extracted_at) from kept")
+@registry.query("p2_kept_moves", f"with {FIRST_MOVES} select * exclude (k, rn) replace (epoch_us(extracted_at) as extracted_at) from kept")
 def p2_kept_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.drop_repeats(spark, moves_source(sf_dir)).withColumn("extracted_at", F.unix_micros("extracted_at"))
 
 
-def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.drop_repeats(spark, moves_source(sf_dir)).select("move_id", "category", "severity")
-
-
-@registry.query("p3_found", f"with {_SUPPLY} select category, severity from targets where supply < greatest(cast(min_rows as double), target_share * sample_rows)")
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return allocation.shortfalls(allocation.supplied(_moves(spark, sf_dir), table(spark, sf_dir, "sample_targets")))
-
-
-@registry.query("p3_report", f"with {_SUPPLY}, {allocation.QUOTAS.strip()[5:]}")
-def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return allocation.quotas(allocation.supplied(_moves(spark, sf_dir), table(spark, sf_dir, "sample_targets")))
-
-
-@registry.query("p3_sample", f"""
-with {_SUPPLY}, plan as (with {allocation.QUOTAS.strip()[5:]})
-select category, severity, move_id from (
-  select p.category, p.severity, m.move_id, least(p.supply, p.quota - p.unmet + p.from_siblings + p.from_cousins) as take,
-         row_number() over (partition by p.category, p.severity order by md5('{allocation.SEED}|' || cast(m.move_id as varchar)), m.move_id) as rn
-  from plan p join kept m on {_label_sql("m.category")} = {_label_sql("p.category")} and {_label_sql("m.severity")} = {_label_sql("p.severity")}) where rn <= take
-""")
-def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return allocation.proportional_sample(spark, _moves(spark, sf_dir), table(spark, sf_dir, "sample_targets"), "move_id")[0]
+_DATES = "select 'emails' as tab, delivery_id as id, date as dt, tz_name as tz from emails union all select 'review_moves', move_id, email_date, tz_name from review_moves"
 
 
-@registry.query("p4_found")
+@registry.query("p4_found", f"with {instants_sql(_DATES, keep='tab, id')} select tab, id as row_id, (utc_us - ((utc_us % 1000) + 1000) % 1000) // 1000 as utc_ms from inst where utc_us is not null")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     e = table(spark, sf_dir, "emails").select(F.lit("emails").alias("tab"), F.col("delivery_id").alias("row_id"), "date", "tz_name")

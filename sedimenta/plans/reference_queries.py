@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions import labels, text
 from sedimenta.functions.keys import message_key
-from sedimenta.operators import documents, enrich, findings, mappers, moves, passages, quality, sampling, stats
+from sedimenta.operators import documents, enrich, findings, instants, mappers, moves, passages, quality, sampling, stats
+from sedimenta.operators.joins import dealt_join
 from sedimenta.plans.core_queries import _key_sql
+from sedimenta.plans.instant_sql import instants as instants_sql
 from sedimenta.plans.registry import Registry
 from sedimenta.session import table
 
@@ -24,14 +26,30 @@ def _case(column: str, pairs: dict[str, str]) -> str:
 
 _C = _case("category", {**labels.CALIBRATION_CATEGORY, **{c: c for c in labels.CALIBRATED}})
 _S = _case("severity", {**labels.CALIBRATION_SEVERITY, **{s: s for s in labels.SEVERITIES}})
-_YEAR = r"try_cast(case when regexp_matches({c}, '^\d{{4}}') then left({c}, 4) end as int)"
-CANON = f"canon as (select move_id, email_message_id, {_C} as category, {_S} as severity, {_YEAR.format(c='email_date')} as year, trigger, principle, response from review_moves where {_C} is not null and {_S} is not null)"
+CANON = f"canon as (select move_id, email_message_id, {_C} as category, {_S} as severity, trigger, principle, response from review_moves where {_C} is not null and {_S} is not null)"
+_YEAR_SQL = "cast(year(make_timestamp(utc_us)) as int)"
+#: canon with the year of each move's instant.
+DATED = f"""{instants_sql("select move_id as id, email_date as dt, tz_name as tz from review_moves")},
+undated as ({CANON[len("canon as ("):]},
+canon as (select undated.*, {_YEAR_SQL} as year from undated join inst on inst.id = undated.move_id)"""
+_MAILS = instants_sql("select delivery_id as id, date as dt, tz_name as tz from emails")
 
 
-def canon(spark: SparkSession, sf_dir: str) -> DataFrame:
+def canon(spark: SparkSession, sf_dir: str, dated: bool = False) -> DataFrame:
+    """Moves with canonical labels; dated: with the year of the instant that their date states."""
     m = table(spark, sf_dir, "review_moves")
     c = moves.canonicalise(m, labels.canonical(F.col("category"), labels.CALIBRATED, labels.CALIBRATION_CATEGORY), labels.canonical(F.col("severity"), labels.SEVERITIES, labels.CALIBRATION_SEVERITY))
-    return c.select("move_id", "email_message_id", "category", "severity", text.year_number(F.col("email_date")).alias("year"), "trigger", "principle", "response")
+    year = []
+    if dated:
+        c = instants.to_utc(c, "email_date", "tz_name")
+        year = [instants.year_of(F.col("utc_us")).alias("year")]
+    return c.select("move_id", "email_message_id", "category", "severity", *year, "trigger", "principle", "response")
+
+
+def dated_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails with the instant that their date states and its year as text, or unknown."""
+    e = instants.to_utc(table(spark, sf_dir, "emails"), "date", "tz_name")
+    return e.withColumn("year", text.year_text(F.col("utc_us")))
 
 
 # Statistics
@@ -59,16 +77,16 @@ def zero_filled_grid(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 @query("temporal_trends", f"""
-with {CANON}, c as (select year, category, count(*) as cnt, min(move_id) as f, count(*) filter (severity = 'reject') as r from canon where year is not null group by 1, 2)
+with {DATED}, c as (select year, category, count(*) as cnt, min(move_id) as f, count(*) filter (severity = 'reject') as r from canon where year is not null group by 1, 2)
 select year, cast(sum(cnt) as bigint) as total, round(100 * sum(r) / sum(cnt), 1) as reject_rate, arg_max(category, row(cnt, -f)) as top_category from c group by 1
 """)
 def temporal_trends(spark, sf_dir):  # noqa: ANN001, ANN201
-    return stats.yearly_trends(canon(spark, sf_dir))
+    return stats.yearly_trends(canon(spark, sf_dir, dated=True))
 
 
-@query("year_range", f"with {CANON} select min(year) as first_year, max(year) as last_year, count(distinct year) as years from canon")
+@query("year_range", f"with {DATED} select min(year) as first_year, max(year) as last_year, count(distinct year) as years from canon")
 def year_range(spark, sf_dir):  # noqa: ANN001, ANN201
-    return canon(spark, sf_dir).agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count_distinct("year").alias("years"))
+    return canon(spark, sf_dir, dated=True).agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count_distinct("year").alias("years"))
 
 
 @query("corpus_stats", f"""
@@ -96,17 +114,17 @@ def pattern_stats(spark, sf_dir):  # noqa: ANN001, ANN201
     return g.select(F.when(F.col("g") == 0, "category").otherwise("severity").alias("what"), F.coalesce("c", "s").alias("label"), "cnt")
 
 
-@query("archive_integrity", """
-select cast(count(*) filter (coalesce(trim(from_email), '') = '') as bigint) as missing_from, count(*) filter (coalesce(trim(date), '') = '') as missing_date, count(*) filter (coalesce(trim(message_id), '') = '') as missing_id,
-  count(*) filter (not coalesce(ends_with(from_email, '.example'), false)) as other_authors, count(*) as messages from emails
+@query("archive_integrity", f"""
+with {_MAILS} select cast(count(*) filter (coalesce(trim(from_email), '') = '') as bigint) as missing_from, count(*) filter (utc_us is null) as missing_date, count(*) filter (coalesce(trim(message_id), '') = '') as missing_id,
+  count(*) filter (not coalesce(ends_with(from_email, '.example'), false)) as other_authors, count(*) as messages from emails join inst on inst.id = delivery_id
 """)
 def archive_integrity(spark, sf_dir):  # noqa: ANN001, ANN201
-    return quality.archive_integrity(table(spark, sf_dir, "emails"), F.endswith("from_email", F.lit(".example")))
+    return quality.archive_integrity(dated_emails(spark, sf_dir), F.endswith("from_email", F.lit(".example")))
 
 
-@query("manifest_by_year", "select case when coalesce(date, '') = '' then 'unknown' else left(date, 4) end as year, count(*) as messages from emails group by 1")
+@query("manifest_by_year", f"with {_MAILS} select coalesce(cast({_YEAR_SQL} as varchar), 'unknown') as year, count(*) as messages from inst group by 1")
 def manifest_by_year(spark, sf_dir):  # noqa: ANN001, ANN201
-    return table(spark, sf_dir, "emails").groupBy(text.year_text(F.col("date")).alias("year")).agg(F.count("*").alias("messages"))
+    return dated_emails(spark, sf_dir).groupBy("year").agg(F.count("*").alias("messages"))
 
 
 @query("manifest_senders", "select from_email, count(*) as messages, left(cast(min(received_at) as varchar), 10) as first_day, left(cast(max(received_at) as varchar), 10) as last_day from emails where coalesce(from_email, '') <> '' group by 1 order by 2 desc, 1 limit 10")
@@ -155,7 +173,7 @@ select m.move_id, v.stakes, v.risk from m left join v on v.k = m.k
 """)
 def enrichment_join(spark, sf_dir):  # noqa: ANN001, ANN201
     v = table(spark, sf_dir, "variations").select(message_key(F.col("email_message_id")).alias("k"), "stakes", "risk")
-    return table(spark, sf_dir, "review_moves").select(message_key(F.col("email_message_id")).alias("k"), "move_id").join(v, "k", "left").select("move_id", "stakes", "risk")
+    return dealt_join(table(spark, sf_dir, "review_moves").select(message_key(F.col("email_message_id")).alias("k"), "move_id"), v, "k", "left").select("move_id", "stakes", "risk")
 
 
 # Samples
@@ -179,17 +197,17 @@ o as (select s.*, row_number() over (partition by s.category order by case when
 select category, year, severity, move_id from o where pick <= 25"""
 
 
-@query("stratified_sample", f"with {CANON}, {_stratified_sql('canon')}")
+@query("stratified_sample", f"with {DATED}, {_stratified_sql('canon')}")
 def stratified_sample(spark, sf_dir):  # noqa: ANN001, ANN201
-    return sampling.stratified(canon(spark, sf_dir), "category", ["year", "severity"], "move_id", 25).select("category", "year", "severity", "move_id")
+    return sampling.stratified(canon(spark, sf_dir, dated=True), "category", ["year", "severity"], "move_id", 25).select("category", "year", "severity", "move_id")
 
 
 @query("cluster_sample", f"""
-with {CANON}, r as (select *, row_number() over (partition by category order by coalesce(length(response), 0) desc, move_id) as rn0, count(*) over (partition by category) as n from canon),
+with {DATED}, r as (select *, row_number() over (partition by category order by coalesce(length(response), 0) desc, move_id) as rn0, count(*) over (partition by category) as n from canon),
 half as (select category, year, severity, move_id from r where rn0 <= greatest(1, floor(n * 0.5))), {_stratified_sql('half')}
 """)
 def cluster_sample(spark, sf_dir):  # noqa: ANN001, ANN201
-    half = sampling.substantive_half(canon(spark, sf_dir), "category", "response", "move_id")
+    half = sampling.substantive_half(canon(spark, sf_dir, dated=True), "category", "response", "move_id")
     return sampling.stratified(half, "category", ["year", "severity"], "move_id", 25).select("category", "year", "severity", "move_id")
 
 
@@ -206,7 +224,7 @@ def balanced_source_sample(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 @query("longest_per_year_sample", f"""
-with e as (select delivery_id, case when coalesce(date, '') = '' then 'unknown' else left(date, 4) end as year, coalesce(length(body), 0) as n, {_HASH.format(id='delivery_id')} as h from emails),
+with {_MAILS}, e as (select delivery_id, coalesce(cast({_YEAR_SQL} as varchar), 'unknown') as year, coalesce(length(body), 0) as n, {_HASH.format(id='delivery_id')} as h from emails join inst on inst.id = delivery_id),
 c as (select year, greatest(1, floor(500 * count(*) / sum(count(*)) over ())) as k from e group by 1),
 r as (select e.*, row_number() over (partition by year order by n desc, delivery_id) as rn from e),
 f as (select r.* from r join c on c.year = r.year where rn <= k order by year, rn limit 500),
@@ -214,7 +232,7 @@ x as (select delivery_id, year, 0 as late, h from f union all select * from (sel
 select delivery_id, year from x order by late, h, delivery_id limit 500
 """)
 def longest_per_year_sample(spark, sf_dir):  # noqa: ANN001, ANN201
-    e = table(spark, sf_dir, "emails").select("delivery_id", text.year_text(F.col("date")).alias("year"), "body")
+    e = dated_emails(spark, sf_dir).select("delivery_id", "year", "body")
     return sampling.longest_per_year(e, "year", "body", "delivery_id", 500).select("delivery_id", "year")
 
 
@@ -287,10 +305,10 @@ def word_count_filter(spark, sf_dir):  # noqa: ANN001, ANN201
     return e.select("delivery_id", text.word_count(F.coalesce("body", F.lit(""))).alias("n")).filter("n >= 50")
 
 
-@query("year_extract", rf"select move_id, case when coalesce(email_date, '') = '' then 'unknown' else left(email_date, 4) end as year_text, {_YEAR.format(c='email_date')} as year from review_moves")
+@query("year_extract", f"with {DATED} select id as move_id, coalesce(cast({_YEAR_SQL} as varchar), 'unknown') as year_text, {_YEAR_SQL} as year from inst")
 def year_extract(spark, sf_dir):  # noqa: ANN001, ANN201
-    d = F.col("email_date")
-    return table(spark, sf_dir, "review_moves").select("move_id", text.year_text(d).alias("year_text"), text.year_number(d).alias("year"))
+    m = instants.to_utc(table(spark, sf_dir, "review_moves"), "email_date", "tz_name")
+    return m.select("move_id", text.year_text(F.col("utc_us")).alias("year_text"), instants.year_of(F.col("utc_us")).alias("year"))
 
 
 @query("header_projection", """
@@ -339,10 +357,15 @@ def content_words(spark, sf_dir):  # noqa: ANN001, ANN201
     return w.groupBy("word").agg(F.count("*").alias("cnt"))
 
 
-@query("code_fence_strip", "select move_id, regexp_replace(principle, '^\\s+|\\s+$', '', 'g') as principle from review_moves where principle is not null")
+@query("code_fence_strip", r"""
+with m as (select move_id, move_id % 4 as k, regexp_replace(principle, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') as t, principle from review_moves where principle is not null)
+select move_id, case k when 0 then t when 1 then t when 2 then principle else 'see' || chr(10) || '```' || chr(10) || t || chr(10) || '```' || chr(10) || 'and' end as principle from m
+""")
 def code_fence_strip(spark, sf_dir):  # noqa: ANN001, ANN201
-    m = table(spark, sf_dir, "review_moves").filter("principle is not null")
-    return m.select("move_id", text.without_fences(F.concat(F.lit("```json\n"), F.col("principle"), F.lit("\n```"))).alias("principle"))
+    m, k, p = table(spark, sf_dir, "review_moves").filter("principle is not null"), F.col("move_id") % 4, F.col("principle")
+    inner = F.concat(F.lit("see\n```\n"), text.strip(p), F.lit("\n```\nand"))
+    answer = F.when(k == 0, F.concat(F.lit(" ```json\n"), p, F.lit("\n```\n"))).when(k == 1, F.concat(F.lit("```\n"), p)).when(k == 2, p).otherwise(F.concat(F.lit("```md\n"), inner, F.lit("\n```")))
+    return m.select("move_id", text.without_fences(answer).alias("principle"))
 
 
 @query("truncation_check", rf"""
@@ -415,7 +438,7 @@ def passage_reason(spark, sf_dir):  # noqa: ANN001, ANN201
 _PART = "cast(floor(move_id / 100) as bigint)"
 
 
-@query("explode_moves", f"select email_message_id, {_PART} as part, cast(row_number() over (partition by email_message_id, {_PART} order by move_id) - 1 as int) as move_no, trigger, severity, category from review_moves")
+@query("explode_moves", f"select email_message_id, {_PART} as part, cast(row_number() over (partition by email_message_id order by move_id) - 1 as int) as move_no, trigger, severity, category from review_moves")
 def explode_moves(spark, sf_dir):  # noqa: ANN001, ANN201
     n = moves.nest(table(spark, sf_dir, "review_moves"))
     return moves.flatten(n, ["email_message_id", "part"]).select("email_message_id", "part", "move_no", "trigger", "severity", "category")
@@ -502,7 +525,11 @@ def schema_violations(spark, sf_dir):  # noqa: ANN001, ANN201
     return quality.violations(table(spark, sf_dir, "review_moves"), "move_id", quality.move_rules(labels.SEVERITIES, labels.CATEGORIES))
 
 
-@query("json_violations")
+@query("json_violations", " union all ".join(
+    [f"select move_id as line_no, 'missing_key' as code, '{f}' as detail from review_moves where {f} is null" for f in ("email_message_id", "email_date")]
+    + [f"select move_id, 'missing_field', '{f}' from review_moves where {f} is null" for f in ("category", "severity", "trigger", "principle")]
+    + [f"select move_id, 'unknown_{f}', {f} from review_moves where {f} not in ({', '.join(chr(39) + x + chr(39) for x in d)})" for f, d in (("severity", labels.SEVERITIES), ("category", labels.CATEGORIES))]
+))
 def json_violations(spark, sf_dir):  # noqa: ANN001, ANN201
     m = table(spark, sf_dir, "review_moves")
     value = F.to_json(F.struct("email_message_id", "email_date", F.array(F.struct("trigger", "principle", "response", "severity", "category")).alias("moves")))
@@ -520,8 +547,8 @@ def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.doc_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("forbidden_term_hits", f"""
-with {_LINES}, b as (select *, lower(regexp_replace(line, '{_QUOTED}', '', 'g')) as bare from l where not starts_with(line, '> '))
+@query("forbidden_term_hits", rf"""
+with {_LINES}, b as (select *, regexp_replace(regexp_replace(regexp_replace(line, '"[^"]*"', '', 'g'), '“[^”]*”', '', 'g'), '`[^`]*`', '', 'g') as bare from l where not regexp_matches(line, '^\s*> .*\S'))
 {" union all ".join(f"select doc_id, cast(line_no as int) as line_no, '{t}' as term from b where contains(bare, '{t}')" for t in _TERMS)}
 """)
 def forbidden_term_hits(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -531,7 +558,7 @@ def forbidden_term_hits(spark, sf_dir):  # noqa: ANN001, ANN201
 @query("table_lint", r"""
 with t as (select delivery_id, unnest(string_split(body, chr(10))) as line, generate_subscripts(string_split(body, chr(10)), 1) as line_no from emails),
 b as (select *, lag(line) over (partition by delivery_id order by line_no) as header from t)
-select delivery_id, cast(line_no as int) as line_no, line, header from b where regexp_matches(line, '^\s*\|.*\|') and contains(line, '---')
+select delivery_id, cast(line_no as int) as line_no, line, header from b where regexp_matches(line, '^\s*\|.*\|---.*\|')
 """)
 def table_lint(spark, sf_dir):  # noqa: ANN001, ANN201
     return quality.table_lines(quality.doc_lines(table(spark, sf_dir, "emails"), "delivery_id", "body"), "delivery_id")
@@ -574,32 +601,41 @@ def heading_segmentation(spark, sf_dir):  # noqa: ANN001, ANN201
     return h.groupBy("doc_id", F.coalesce("heading", F.lit("")).alias("heading")).agg(F.count("*").alias("lines"))
 
 
-_BUDGET = "f as (select id, title || ' ' || url as t from interview_sources), b as (select *, sum(length(t)) over (order by id rows unbounded preceding) as upto from f)"
+_BUDGET = "f as (select doc_id, coalesce(text, '') as t from documents where doc_kind = 'interview'), b as (select *, sum(length(t)) over (order by doc_id rows unbounded preceding) as upto from f)"
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "interview_sources").select("id", F.concat("title", F.lit(" "), "url").alias("t"))
+    return table(spark, sf_dir, "documents").filter("doc_kind = 'interview'").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
 
 
-@query("context_budget", f"with {_BUDGET} select id, t from b where upto <= 2000 or upto = length(t)")
+@query("context_budget", f"with {_BUDGET} select doc_id, t from b where upto <= 200000 or upto = length(t)")
 def context_budget(spark, sf_dir):  # noqa: ANN001, ANN201
-    return documents.within_budget(_files(spark, sf_dir), "id", "t", 2000)
+    return documents.within_budget(_files(spark, sf_dir), "doc_id", "t", 200_000)
 
 
-@query("context_budget_cut", f"with {_BUDGET} select id, left(t, cast(least(length(t), 2000 - (upto - length(t))) as bigint)) as t from b where upto - length(t) < 2000")
+@query("context_budget_cut", f"with {_BUDGET} select doc_id, left(t, cast(least(length(t), 50000 - (upto - length(t))) as bigint)) as t from b where upto - length(t) < 50000")
 def context_budget_cut(spark, sf_dir):  # noqa: ANN001, ANN201
-    return documents.within_budget(_files(spark, sf_dir), "id", "t", 2000, cut_last=True)
+    return documents.within_budget(_files(spark, sf_dir), "doc_id", "t", 50_000, cut_last=True)
 
 
 @query("prompt_blocks", f"""
-with {CANON}, x as ({"with " + _stratified_sql('canon')}), n as (select x.category, x.move_id, row_number() over (partition by x.category order by x.move_id) as rn, c.principle from x join canon c on c.move_id = x.move_id)
+with {DATED}, x as ({"with " + _stratified_sql('canon')}), n as (select x.category, x.move_id, row_number() over (partition by x.category order by x.move_id) as rn, c.principle from x join canon c on c.move_id = x.move_id)
 select category, category || ' (' || cast(count(*) as varchar) || ')' as header, string_agg(cast(rn as varchar) || '. ' || coalesce(principle, ''), chr(10) order by rn) as block from n group by 1
 """)
 def prompt_blocks(spark, sf_dir):  # noqa: ANN001, ANN201
-    s = sampling.stratified(canon(spark, sf_dir), "category", ["year", "severity"], "move_id", 25)
+    s = sampling.stratified(canon(spark, sf_dir, dated=True), "category", ["year", "severity"], "move_id", 25)
     return documents.numbered_blocks(s, "category", ["move_id"], F.coalesce("principle", F.lit("")))
 
 
+@query("prompt_header", f"""
+with {DATED}, x as ({"with " + _stratified_sql('canon')}),
+c as (select category as label, count(*) as n from x group by 1), v as (select severity as label, count(*) as n from x group by 1)
+select (select cast(sum(n) as bigint) from c) as patterns, (select string_agg(label || ': ' || n, ', ' order by n desc, label) from c) as categories, (select string_agg(label || ': ' || n, ', ' order by n desc, label) from v) as severities
+""")
+def prompt_header(spark, sf_dir):  # noqa: ANN001, ANN201
+    return documents.prompt_header(sampling.stratified(canon(spark, sf_dir, dated=True), "category", ["year", "severity"], "move_id", 25))
+
+
 @query("calibration_lines", f"""
 with {CANON}, a(category) as (values {", ".join(f"('{c}')" for c in labels.CATEGORIES)}), t as (select category, count(*) as n, round(100 * avg(case when severity = 'reject' then 1.0 else 0.0 end), 1) as r from canon group by 1)
 select a.category, case when n is null then 'no data' else printf('%d moves, %.1f %% rejected', n, r) end as line from a left join t on t.category = a.category
@@ -710,9 +746,12 @@ def parse_reviews(spark, sf_dir):  # noqa: ANN001, ANN201
     f, n = F.regexp_extract("trigger", r"([\w./-]+\.\w+)", 1), (F.col("move_id") % 500).cast("string")
     loc = F.when(f != "", F.concat(f, F.lit(":"), n)).otherwise(F.concat(F.lit("lines "), n))
     kind = F.coalesce(F.expr(r"nullif(trim(category), '')"), F.lit("-"))
-    doc = F.concat_ws("\n", F.lit("# Review"), F.lit("## io/fallback.c"), F.concat(F.lit("### ["), F.expr(_LEVEL), F.lit("] "), F.trim(F.regexp_replace("trigger", r"\s+", " "))), F.lit("- **Location:** none"), F.concat(F.lit("- **Location:** "), loc), F.concat(F.lit("- **Type**: "), kind))
-    r = findings.parse_reviews(m.select("move_id", doc.alias("doc")), "move_id", "doc")
-    return r.select("move_id", "severity", "title", "location", "kind", "file", "line")
+    one = F.concat_ws("\n", F.concat(F.lit("### ["), F.expr(_LEVEL), F.lit("] "), F.trim(F.regexp_replace("trigger", r"\s+", " "))), F.lit("- **Location:** none"), F.concat(F.lit("- **Location:** "), loc), F.concat(F.lit("- **Trigger:** "), F.col("move_id").cast("string")), F.concat(F.lit("- **Type**: "), kind))
+    # five findings a document, which the section above all of them belongs to
+    docs = m.groupBy(F.floor(F.col("move_id") / 5).alias("doc_no")).agg(F.array_sort(F.collect_list(F.struct("move_id", one.alias("t")))).alias("ts"))
+    doc = F.concat(F.lit("# Review\n## io/fallback.c\n"), F.array_join(F.transform("ts", lambda x: x["t"]), "\n\nSome words between.\n"))
+    r = findings.parse_reviews(docs.select("doc_no", doc.alias("doc")), "doc_no", "doc")
+    return r.select(F.col("trigger").cast("bigint").alias("move_id"), "severity", "title", "location", "kind", "file", "line")
 
 
 # Enrichment, manifests, assembly
@@ -744,15 +783,15 @@ def enrichment_lines(spark, sf_dir):  # noqa: ANN001, ANN201
     return enrich.enrichment_lines(table(spark, sf_dir, "variations"))
 
 
-@query("archive_manifest", r"""
-with y as (select case when regexp_matches(date, '^\d{4}-\d{2}-\d{2}') then left(date, 4) else 'unknown' end as y, date, regexp_matches(date, '^\d{4}-\d{2}-\d{2}') as ok from emails)
-select count(*) as messages, min(case when ok then date end) as first_date, max(case when ok then date end) as last_date, count(distinct y) as years from y
+@query("archive_manifest", f"""
+with {_MAILS}, y as (select from_email, utc_us, coalesce(cast({_YEAR_SQL} as varchar), 'unknown') as y from emails join inst on inst.id = delivery_id)
+select count(*) as messages, strftime(make_timestamp(min(utc_us)), '%Y-%m-%dT%H:%M:%SZ') as first_date, strftime(make_timestamp(max(utc_us)), '%Y-%m-%dT%H:%M:%SZ') as last_date, count(distinct y) as years, count(distinct from_email) as senders from y
 """)
 def archive_manifest(spark, sf_dir):  # noqa: ANN001, ANN201
     from sedimenta.sources import sinks
 
-    m = sinks.manifest(table(spark, sf_dir, "emails"))
-    return m.select("messages", "first_date", "last_date", F.size("by_year").cast("bigint").alias("years"))
+    m = sinks.manifest(dated_emails(spark, sf_dir))
+    return m.select("messages", "first_date", "last_date", F.size("by_year").cast("bigint").alias("years"), "senders")
 
 
 @query("migration_summary", f"""
@@ -807,57 +846,72 @@ def text_from_rule(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 @query("merged_chunks", """
-select source_file, string_agg(case when rn = 1 then string_split(text, '. ')[1] else text end, chr(10) order by rn) as text from
-  (select source_file, text, row_number() over (partition by source_file order by passage_id) as rn from passages where text is not null) where rn <= 5 group by 1
-""")
-def merged_chunks(spark, sf_dir):  # noqa: ANN001, ANN201
-    p = sampling.first_per_group(table(spark, sf_dir, "passages").filter("text is not null").select("source_file", "passage_id", "text"), ["source_file"], [F.col("passage_id")], 5)
-    return documents.merged_chunks(p, "source_file", "passage_id", "text", ". ")
-
-
-@query("merged_chunks_whole", """
 select source_file, string_agg(case when rn = 1 then string_split(text, '. ')[1] else text end, chr(10) order by rn) as text from
   (select source_file, text, row_number() over (partition by source_file order by passage_id) as rn from passages where text is not null) group by 1
 """)
-def merged_chunks_whole(spark, sf_dir):  # noqa: ANN001, ANN201
+def merged_chunks(spark, sf_dir):  # noqa: ANN001, ANN201
     return documents.merged_chunks(table(spark, sf_dir, "passages").filter("text is not null"), "source_file", "passage_id", "text", ". ")
 
 
-@query("json_response", "select move_id, severity, category from review_moves")
+@query("json_response", "select move_id, case when move_id % 3 < 2 then severity end as severity, case when move_id % 3 < 2 then category end as category from review_moves")
 def json_response(spark, sf_dir):  # noqa: ANN001, ANN201
-    m = table(spark, sf_dir, "review_moves")
-    answer = F.concat(F.lit("```json\n"), F.to_json(F.struct("severity", "category")), F.lit("\n```"))
+    m, k = table(spark, sf_dir, "review_moves"), F.col("move_id") % 3
+    value = F.to_json(F.struct("severity", "category"))
+    broken = F.concat(F.left(value, F.length(value) - 1), F.lit(" and so on"))
+    answer = F.when(k == 0, F.concat(F.lit("```json\n"), value, F.lit("\n```"))).when(k == 1, value).otherwise(broken)
     return m.select("move_id", text.json_response(answer, "severity string, category string").alias("r")).select("move_id", "r.severity", "r.category")
 
 
-# What SQL can't say
+# Pages, generated documents, mappers, mbox
 
-@query("html_visible_text", r"select passage_id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[ \t]+', ' ', 'g') as text from passages where text is not null and not regexp_matches(text, '[<&]|\n')")
+@query("html_visible_text", rf"select passage_id, {_TRIM.format(c="regexp_replace(regexp_replace(regexp_replace(text, '\\.[\\s\\p{Z}]+', '.' || chr(10) || chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g')".replace('{', '{{').replace('}', '}}')).replace('{{', '{').replace('}}', '}')} as text from passages where text is not null")
 def html_visible_text(spark, sf_dir):  # noqa: ANN001, ANN201
     from sedimenta.sources.web import html_text
 
-    page = F.concat(F.lit("<html><head><title>x</title></head><body><script>var a;</script><nav>menu</nav><p>"), F.col("text"), F.lit("</p><!-- c --></body></html>"))
-    return table(spark, sf_dir, "passages").filter(F.col("text").isNotNull() & ~F.col("text").rlike("[<&]|\n")).select("passage_id", html_text(page).alias("text"))
+    coded = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    spans = F.regexp_replace(coded, r"(?U)\.\s+", ".</span><SPAN class='a>b'>")
+    page = F.concat(F.lit("<html><head><title>x</title></head><body><script>if (a < b) { c('</p>'); }</script><nav>menu <form>f</form> more</nav><div><span>"), spans, F.lit("</span></div><!-- c <p> --></body></html>"))
+    return table(spark, sf_dir, "passages").filter("text is not null").select("passage_id", html_text(page).alias("text"))
+
 
+_SPANS = """'"[^"]*"|“[^”]*”|`[^`]*`'"""
 
-@query("sanitise_outside_quotes")
+
+@query("sanitise_outside_quotes", rf"""
+select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l: case when regexp_matches(l, '^[\s\p{{Z}}]*> ') then l else
+  array_to_string(list_transform(list_zip(string_split_regex(l, {_SPANS}), regexp_extract_all(l, {_SPANS})), lambda z: {_chain_sql('z[1]')} || coalesce(z[2], '')), '') end), chr(10)) as text from documents
+""")
 def sanitise_outside_quotes(spark, sf_dir):  # noqa: ANN001, ANN201
     return table(spark, sf_dir, "documents").select("doc_id", documents.sanitised(F.col("text"), _CHAIN).alias("text"))
 
 
-@query("strip_tables")
+@query("strip_tables", r"""
+select doc_id, '- **id**: ' || doc_id || chr(10) || '- **kind**: ' || coalesce(doc_kind, '-') || chr(10) || chr(10) || '- **id**: 2' || chr(10) || chr(10) || chr(10) || coalesce(text, '') || chr(10) || '- **a**: ' || doc_id || chr(10) || chr(10) as text from documents
+""")
 def strip_tables(spark, sf_dir):  # noqa: ANN001, ANN201
-    doc = F.concat(F.lit("| id | kind |\n|---|---|\n| "), F.col("doc_id").cast("string"), F.lit(" | "), F.coalesce("doc_kind", F.lit("-")), F.lit(" |\n\n"), F.coalesce("text", F.lit("")))
+    n = F.col("doc_id").cast("string")
+    doc = F.concat(F.lit("| id | kind |\n|---|:--|\n| "), n, F.lit(" | "), F.coalesce("doc_kind", F.lit("-")), F.lit(" | more |\n  | 2\n\n"), F.coalesce("text", F.lit("")), F.lit("\n| a |\n| - |\n|"), n, F.lit("|"))
     return table(spark, sf_dir, "documents").select("doc_id", documents.without_tables(doc).alias("text"))
 
 
-@query("rule_mapper_extract")
+_RULES = ((r"takes the lock twice", "concurrency", "reject"), (r"leaks memory", "memory-safety", "reject"), (r"needs a test", "testing", "request-changes"))
+
+
+@query("rule_mapper_extract", f"""
+with h as ({" union all ".join(f"select delivery_id, {i} as rule, unnest(regexp_extract_all(left(body, 8000), '{p}')) as trigger, '{c}' as category, '{v}' as severity from emails" for i, (p, c, v) in enumerate(_RULES))})
+select cast(delivery_id as varchar) as key, cast(row_number() over (partition by delivery_id order by rule) - 1 as int) as move_no, trigger, category, severity from h
+""")
 def rule_mapper_extract(spark, sf_dir):  # noqa: ANN001, ANN201
-    rules = mappers.RuleMapper(((r"takes the lock twice", "concurrency", "reject"), (r"leaks memory", "memory-safety", "reject"), (r"needs a test", "testing", "request-changes")))
-    return mappers.annotate(table(spark, sf_dir, "emails"), "delivery_id", "body", rules)
+    records = mappers.annotate(table(spark, sf_dir, "emails"), "delivery_id", "body", mappers.RuleMapper(_RULES))
+    return moves.flatten(records, ["key"]).select("key", "move_no", "trigger", "category", "severity")
 
 
-@query("mbox_text", None)
+@query("mbox_text", r"""
+with e as (select delivery_id, coalesce(message_id, '') as m, coalesce(from_name, '') as n, coalesce(from_email, '') as f, coalesce(date, '') as d, coalesce(subject, '') as s, coalesce(in_reply_to, '') as r, replace(coalesce(body, ''), chr(13) || chr(10), chr(10)) as b, received_at from emails)
+select delivery_id, 'From ' || case when f = '' then 'unknown@invalid' else f end || ' ' || strftime(received_at, '%a %b %d %H:%M:%S %Y') || chr(10) || 'Message-ID: ' || m || chr(10) || 'From: ' || n || ' <' || f || '>' || chr(10) || 'Date: ' || d || chr(10) || 'Subject: ' || s || chr(10)
+  || 'In-Reply-To: ' || r || chr(10) || 'Content-Type: text/plain; charset=utf-8' || chr(10) || 'Content-Transfer-Encoding: 8bit' || chr(10) || chr(10)
+  || array_to_string(list_transform(string_split(b, chr(10)), lambda l: case when regexp_matches(l, '^>*From ') then '>' || l else l end), chr(10)) || chr(10) as value from e
+""")
 def mbox_text(spark, sf_dir):  # noqa: ANN001, ANN201
     from sedimenta.sources.mail import to_mbox
 

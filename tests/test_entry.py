@@ -26,12 +26,13 @@ def test_core_does_not_need_llm():
     assert used == []
 
 
-@pytest.mark.parametrize("name", ["p2_found", "p3_found", "clean_body", "review_filter", "stratified_sample", "passage_split", "verdict_score"])
+@pytest.mark.parametrize("name", ["p2_found", "p4_found", "clean_body", "review_filter", "stratified_sample", "manifest_by_year", "merged_chunks", "html_visible_text", "parse_reviews", "passage_split", "verdict_score"])
 def test_queries_agree_with_sql(spark, data, name):
     import duckdb
 
     entry = importlib.import_module("__spark_entry__")
     con = duckdb.connect()
+    con.execute("set timezone='UTC'")
     for p in Path(data).glob("*.parquet"):
         con.execute(f"create view {p.stem} as select * from '{p}'")
     df = entry.queries()[name](spark, data)

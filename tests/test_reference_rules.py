@@ -76,6 +76,12 @@ def test_canonical_labels(spark):
     rec = spark.createDataFrame([("k", [("reliability",), ("style",)])], "email_message_id string, moves array<struct<category:string>>")
     r = moves.migrate(rec, labels.MIGRATION_CATEGORY, {("k", 1): "testing"}).first()
     assert [m.category for m in r.moves] == ["error-handling", "testing"] and r.changed == 2
+    long = spark.createDataFrame([(i, "k", "style") for i in range(250)] + [(900, None, "style")], "move_id long, email_message_id string, category string")
+    for c in ("trigger", "principle", "response", "severity"):
+        long = long.withColumn(c, F.lit("x"))
+    n = moves.nest(long)
+    assert sorted(r.first for r in n.collect()) == [0, 0, 100, 200]
+    assert moves.migrate(n, {}, {("k", 105): "testing"}).agg(F.sum("changed")).first()[0] == 1
 
 
 def test_samples(spark):
@@ -113,10 +119,10 @@ def test_json_checks(spark):
 
 
 def test_lint(spark):
-    doc = 'a racy "racy"\n> racy\n| h |\n|---|\n| racy |'
+    doc = 'a racy "racy"\n  > racy\n| h | i |\n|---|---|\n| racy | Racy |'
     lines = quality.doc_lines(spark.createDataFrame([(1, doc), (2, None)], "id int, t string"), "id", "t")
     assert [(r.line_no, r.term) for r in quality.term_hits(lines, "id", ["racy"]).orderBy("line_no").collect()] == [(1, "racy"), (5, "racy")]
-    assert [(r.line_no, r.header) for r in quality.table_lines(lines, "id").collect()] == [(4, "| h |")]
+    assert [(r.line_no, r.header) for r in quality.table_lines(lines, "id").collect()] == [(4, "| h | i |")]
     a = spark.createDataFrame([("x", "1"), ("y", "1"), ("z", "1")], "name string, sha256 string")
     b = spark.createDataFrame([("x", "1"), ("y", "2"), ("w", "1")], "name string, sha256 string")
     assert {r.name: r.status for r in quality.compare_checksums(a, b).collect()} == {"x": "ok", "y": "mismatch", "z": "missing", "w": "new"}
@@ -128,7 +134,13 @@ def test_documents(spark):
     assert [(r.name, len(r.t)) for r in documents.within_budget(files, "name", "t", 32, True).orderBy("name").collect()] == [("a", 30), ("b", 2)]
     assert one(spark, documents.sanitised(F.col("v"), [("lock", "guard")]), v='lock "lock" `lock`\n> lock') == 'guard "lock" `lock`\n> lock'
     assert one(spark, documents.without_tables(F.col("v")), v="| a | b |\n|---|---|\n| 1 | 2 |\nend") == "- **a**: 1\n- **b**: 2\n\nend"
-    assert one(spark, documents.patched_tail(F.col("v"), F.lit("## C\nnew")), v="x\n## A\n1\n## B\n2") == "x\n## A\n1\n## C\nnew"
+    assert one(spark, documents.sanitised(F.col("v"), [("lock", "guard")]), v="“lock\n lock” \n   > lock\n>lock") == "“guard\n guard” \n   > lock\n>guard"
+    assert one(spark, documents.without_tables(F.col("v")), v="a | b\n---|---\n| h |\n| -- |\n" + "| x |\n" * 5000) == "a | b\n---|---\n" + "- **h**: x\n\n" * 5000
+    assert one(spark, documents.without_tables(F.col("v")), v=None) is None and one(spark, documents.sanitised(F.col("v"), []), v="") == ""
+    patch = lambda t, p: one(spark, documents.patched_tail(F.col("v"), F.lit(p)), v=t)
+    assert patch("x\n## Long heading\ncut", "y\n## Long heading\nwhole text\n## More") == "x## Long heading\nwhole text\n## More"
+    assert patch("x\n## Long heading\n" + "cut " * 9, "y\n## Long heading\nwhole") == "y\n## Long heading\nwhole"
+    assert patch("no section", "other") == "other" and patch("x", "") == "x" and patch(None, "y") == "y" and patch("x", None) == "x"
 
 
 def test_parse_reviews(spark):
@@ -194,6 +206,8 @@ def test_mbox_round_trip(spark, tmp_path, chunk):
 
 def test_web(spark):
     assert web.visible_text("<p>A</p><script>x</script><p>B &amp; C</p>").split() == ["A", "B", "&", "C"]
+    assert web.visible_text("a<!-- <p>b --><pre>c  d</pre><span title='>'>e</span><style>p > q</style><br>1 < 2") == "a\n\nc d\n\ne\n\n1\n<\n2"
+    assert web.visible_text("") == "" and web.visible_text(None) is None and web.visible_text("<script>never closed <p>x") == ""
     assert web.visible_text("<nav><nav>x</nav>y</nav></nav>z") == "z"
     src = spark.createDataFrame([("a", "http://ok"), ("b", "http://youtube.com/1"), ("c", "http://no"), ("d", None)], "id string, url string")
 
@@ -301,6 +315,6 @@ def test_all_chunks_of_a_document_are_merged(spark, data, monkeypatch):
     got = {r.doc: r.text for r in documents.merged_chunks(chunks, "doc", "id", "t", ". ").collect()}
     assert got == {"hot": "\n".join(["c1", *(f"c{i}. d{i}" for i in range(2, 41))]), "cold": "only", None: "a\nb", "void": ""}
     want = spark.read.parquet(f"{data}/passages.parquet").filter("text is not null")
-    whole = reference_queries.registry.queries["merged_chunks_whole"](spark, data)
+    whole = reference_queries.registry.queries["merged_chunks"](spark, data)
     per_source = {r.source_file: r["count"] for r in want.groupBy("source_file").count().collect()}
     assert max(per_source.values()) > 5 and {r.source_file: r.text.count("\n") + 1 >= per_source[r.source_file] for r in whole.collect()} == dict.fromkeys(per_source, True)

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.functions.keys import label_key, message_key
@@ -47,9 +46,7 @@ def test_hot_identifier_over_many_files(spark, tmp_path):
     assert sorted(r.id for r in kept.collect()) == sorted({r["id"] for r in rows} - set(want))
 
 
-@pytest.mark.parametrize("limit", [0, 64 << 20])
-def test_both_ways_to_apply_bitmaps(spark, tmp_path, monkeypatch, limit):
-    monkeypatch.setattr(repeats, "BROADCAST_BYTES", limit)
+def test_repeated_rows_and_missing_identifiers(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([(2, "a@x"), (1, "<a@X>"), (3, None), (4, ""), (5, None), (1, "a@x")], "id long, mid string").coalesce(1).write.parquet(path)
     got = sorted(r.row_id for r in repeats.find_repeats(spark, [source(path)]).collect())
@@ -57,6 +54,15 @@ def test_both_ways_to_apply_bitmaps(spark, tmp_path, monkeypatch, limit):
     assert sorted(r.id for r in repeats.drop_repeats(spark, source(path)).collect()) == [1, 3, 4, 5]
 
 
+def test_wide_rows_are_not_shuffled(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(200_000).selectExpr("id", "concat(id % 150000, '@x') as mid", "'p' as payload").repartition(3).write.parquet(path)
+    kept = repeats.drop_repeats(spark, source(path))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert kept.count() == 150_000 and kept.agg(F.max("id")).first()[0] == 149_999
+
+
 def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([], "id long, mid string").write.parquet(path)
