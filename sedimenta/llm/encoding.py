@@ -246,8 +246,10 @@ def compile_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS
 
 
 class Encoder:
-    def __init__(self, lexicon: str, vocabulary: str) -> None:
-        self.lexicon, self.merger = Lexicon(lexicon), Merger(vocabulary)
+    """Ids of texts, by a lexicon where there is one."""
+
+    def __init__(self, lexicon: str | None, vocabulary: str) -> None:
+        self.lexicon, self.merger = Lexicon(lexicon) if lexicon else None, Merger(vocabulary)
         self.pattern = regex.compile(PATTERN)
         self.known: dict[str, list[int]] = {}
 
@@ -258,6 +260,9 @@ class Encoder:
             self.known.clear()
             new = list(words)
         raw = [w.encode("utf-8", "replace") for w in new]
+        if self.lexicon is None:
+            self.known.update(zip(new, map(self.merger.ids, raw), strict=True))
+            return
         numbers = self.lexicon.numbers(raw)
         starts, ids = self.lexicon.a["starts"], self.lexicon.a["ids"]
         for w, b, k in zip(new, raw, numbers.tolist(), strict=True):
@@ -274,15 +279,16 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, only_lengths: bool = False) -> DataFrame:
-    """(doc_id, ids), or (doc_id, n_tokens), of every document."""
-    name = compile_lexicon(docs, vocabulary)
+    """(doc_id, ids), or (doc_id, n_tokens), of every document. Lengths need each word once a
+    task; counting the words of the corpus for a lexicon first would read it twice."""
+    name = "" if only_lengths else compile_lexicon(docs, vocabulary)
     kind = "doc_id long, n_tokens long" if only_lengths else "doc_id long, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(name)
         if encoder is None:
             _encoders.clear()
-            encoder = _encoders[name] = Encoder(SparkFiles.get(name), vocabulary)
+            encoder = _encoders[name] = Encoder(SparkFiles.get(name) if name else None, vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):  # batches of results stay small
                 part = batch.slice(at, 500)

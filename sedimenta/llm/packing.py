@@ -1,14 +1,17 @@
 """Fill containers of fixed capacity with documents.
 
 Documents are routed by size to tiers of a container's window: more than a half, a quarter,
-an eighth of it, and the rest. Containers are opened for the longest tier that is left, and
-the gaps behind its documents are filled from the shorter tiers, the largest size that fits
-first. All this is decided on the histogram of sizes, of which there are at most as many as
-the capacity has units, so packing takes the same time for any number of documents: its
-result are patterns of sizes with the number of containers filled alike. Documents are then
-numbered within their size in parallel and looked up in the patterns. Numbering is done by
-parts of a size, so a size that a third of all documents share is no single task. Containers
-are dealt to step groups in turn, which gives each the same mix of windows.
+an eighth of it, and the rest. Tiers are packed one after the other, the longest first: a
+container of a tier is filled with documents of the tier as well as they go together, then the
+gap that is left with documents of the shorter tiers, at each step the one document or the two
+that fill it best. What a shorter tier gave to gaps isn't there when its turn comes. All this
+is decided on the histogram of sizes, of which there are at most as many as the capacity has
+units, so packing takes the same time for any number of documents: its result are patterns of
+sizes with the number of containers filled alike. Documents are then numbered within their
+size in parallel and looked up in the patterns. Numbering is done by parts of a size, so a
+size that a third of all documents share is no single task. Containers in order of tier and
+tokens are dealt to step groups forth and back, which gives each the same mix of windows and
+nearly the same tokens.
 
 Defined results: documents with null or empty text, or of size 0, are in no container; one
 larger than the capacity is split into full pieces and a rest, no other is split; repeated
@@ -17,7 +20,6 @@ rows are documents of their own; an empty table needs no containers.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,69 +35,102 @@ TIERS = (1 / 2, 1 / 4, 1 / 8, 0.0)
 STEP = 64
 #: Rows of a size that one task numbers, about.
 PART_ROWS = 200_000
+#: Capacities at most; each is a task of its own.
+CAPACITIES = 1000
 
 
 def tier_of(size: int, capacity: int) -> int:
     return next(i for i, share in enumerate(TIERS) if size > share * capacity)
 
 
-def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """[(((size, times), ...), containers), ...]: how containers are filled. The last size
-    of a container is the one that together with one more fills it best."""
-    left = {s: n for s, n in counts.items() if n > 0}
-    sizes = sorted(left)
-    patterns: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    while sizes:
-        first = sizes[-1]
-        items = {first: 1}
-        room = capacity - first
-        while room >= sizes[0]:
-            # largest size that fits, or the pair that fills more
-            i = bisect_right(sizes, room) - 1
-            while i >= 0 and left[sizes[i]] - items.get(sizes[i], 0) <= 0:
-                i -= 1
-            if i < 0:
-                break
-            best, pair = sizes[i], None
-            if best != room:
-                lo, k = best, i
-                tries = 0
-                while k >= 0 and tries < 64 and 2 * sizes[k] > room - sizes[k]:
-                    a = sizes[k]
-                    rest = room - a
-                    j = bisect_right(sizes, rest) - 1
-                    if j >= 0 and left[a] - items.get(a, 0) > 0:
-                        b = sizes[j]
-                        need = items.get(b, 0) + (2 if a == b else 1)
-                        if left[b] >= need and a + b > lo:
-                            lo, pair = a + b, (a, b)
-                            if lo == room:
-                                break
-                    k -= 1
-                    tries += 1
-            for s in pair or (best,):
-                items[s] = items.get(s, 0) + 1
-                room -= s
-        times = min(left[s] // n for s, n in items.items())
-        patterns.append((tuple(sorted(items.items(), reverse=True)), times))
-        for s, n in items.items():
-            left[s] -= n * times
-            if not left[s]:
-                del left[s]
-                del sizes[bisect_right(sizes, s) - 1]
-    return patterns
+class Stock:
+    """Sizes that are left, with their numbers. Which ones are there is an integer with a bit
+    for each size, and one with the bits the other way round: all pairs of a sum show at once
+    where the two, one of them shifted, agree."""
+
+    def __init__(self, counts: dict[int, int], capacity: int) -> None:
+        self.left, self.capacity = dict(counts), capacity
+        self.there = sum(1 << s for s in counts)
+        self.back = sum(1 << (capacity - s) for s in counts)
+
+    def take(self, size: int, n: int) -> None:
+        self.left[size] -= n
+        if not self.left[size]:
+            del self.left[size]
+            self.there &= ~(1 << size)
+            self.back &= ~(1 << (self.capacity - size))
+
+    def best(self, room: int, used: dict[int, int]) -> tuple[int, ...]:
+        """The size, or the two, that fill a room best; sizes are used up by `used`."""
+        there, back = self.there, self.back
+        for s, n in used.items():
+            if self.left.get(s, 0) == n:
+                there &= ~(1 << s)
+                back &= ~(1 << (self.capacity - s))
+        single = (there & ((1 << (room + 1)) - 1)).bit_length() - 1
+        if single <= 0:
+            return ()
+        for total in range(room, single, -1):
+            pairs = there & (back >> (self.capacity - total))
+            if not total % 2 and pairs >> (total // 2) & 1 and self.left[total // 2] - used.get(total // 2, 0) < 2:
+                pairs &= ~(1 << (total // 2))
+            if pairs:
+                a = pairs.bit_length() - 1
+                return (a, total - a)
+        return (single,)
+
+
+def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[tuple[int, int], ...], int]]:
+    """[(tier, ((size, times), ...), containers), ...]: how containers are filled, by tier."""
+    routed: list[dict[int, int]] = [{} for _ in TIERS]
+    for size, n in counts.items():
+        if n > 0:
+            routed[tier_of(size, capacity)][size] = n
+    out = []
+    shorter = Stock({s: n for t in routed for s, n in t.items()}, capacity)
+    for tier in range(len(TIERS)):
+        own = Stock({s: n for s, n in shorter.left.items() if tier_of(s, capacity) == tier}, capacity)
+        for s, n in own.left.items():
+            shorter.take(s, n)
+        while own.left:
+            items: dict[int, int] = {}
+            room = capacity
+            for stock in (own, shorter):  # the tier first, then what fills its gap
+                used: dict[int, int] = {}
+                first = (max(own.left),) if stock is own else ()
+                while sizes := first or stock.best(room, used):
+                    first = ()
+                    for s in sizes:
+                        used[s] = used.get(s, 0) + 1
+                        room -= s
+                items.update(used)
+            times = min((own if s in own.left else shorter).left[s] // n for s, n in items.items())
+            out.append((tier, tuple(sorted(items.items(), reverse=True)), times))
+            for s, n in items.items():
+                (own if s in own.left else shorter).take(s, n * times)
+    return out
 
 
 def pieces_of(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     """(capacity_id, capacity, doc_id, piece_no, size): documents for each capacity, those
     larger than it in pieces."""
-    d = sizes.filter("n_tokens > 0").crossJoin(F.broadcast(capacities.filter("capacity_tokens > 0").select("capacity_id", F.col("capacity_tokens").cast("bigint").alias("capacity"))))  # a row for each task
+    tasks = capacities.filter("capacity_tokens > 0").select("capacity_id", "capacity_tokens").take(CAPACITIES + 1)
+    if len(tasks) > CAPACITIES:
+        raise ValueError(f"more than {CAPACITIES} capacities")
+    each = F.array(*[F.struct(F.lit(r[0]).cast("int").alias("capacity_id"), F.lit(r[1]).cast("bigint").alias("capacity")) for r in tasks]).cast("array<struct<capacity_id:int,capacity:bigint>>")
+    d = sizes.filter("n_tokens > 0").select("doc_id", "n_tokens", F.explode(each).alias("c")).select("doc_id", "n_tokens", "c.*")
     n = F.ceil(F.col("n_tokens") / F.col("capacity"))
     d = d.withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
     size = F.least("capacity", F.col("n_tokens") - F.col("piece_no") * F.col("capacity"))
     return d.select("capacity_id", "capacity", "doc_id", F.col("piece_no").cast("int").alias("piece_no"), size.alias("size"))
 
 
+def group_of(container: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Step groups of containers in order, dealt forth and back."""
+    turn, at = container // groups, container % groups
+    return np.where(turn % 2 == 0, at, groups - 1 - at)
+
+
 def plan_slots(hist: list[tuple[int, int, int, int]]) -> dict[str, np.ndarray]:
     """Slots in containers, ordered by capacity and size, as arrays; hist: (capacity_id,
     capacity, size, documents)."""
@@ -106,8 +141,8 @@ def plan_slots(hist: list[tuple[int, int, int, int]]) -> dict[str, np.ndarray]:
         by.setdefault(cid, (cap, {}))[1][size] = n
     for cid, (cap, counts) in by.items():
         base = 0
-        for items, times in pack_histogram(counts, cap):
-            tier = tier_of(items[0][0], cap)
+        patterns = sorted(pack_histogram(counts, cap), key=lambda p: (p[0], -sum(s * n for s, n in p[1]), p[1]))
+        for tier, items, times in patterns:
             for size, n in items:
                 slots.append((cid, size, base, times, n, tier, n * times))
             base += times
@@ -148,7 +183,7 @@ def pack(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
             container = s["base"][k] + (at - s["starts"][k]) % s["times"][k]
             groups = np.array([s["groups"][int(c)] for c in cid], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(container), pa.array(container % groups if len(groups) else groups), pa.array(s["tier"][k].astype(np.int32)), batch.column(1), batch.column(2), batch.column(3)],
+                [batch.column(0), pa.array(container), pa.array(group_of(container, groups) if len(groups) else groups), pa.array(s["tier"][k].astype(np.int32)), batch.column(1), batch.column(2), batch.column(3)],
                 ["capacity_id", "container_id", "step_group", "tier", "doc_id", "piece_no", "n_tokens"],
             )
 

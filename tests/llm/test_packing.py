@@ -50,13 +50,32 @@ def test_empty(spark):
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), min_size=1, max_size=25))
 def test_histogram(counts):
     used = defaultdict(int)
-    for items, times in p.pack_histogram(counts, 50):
-        assert times > 0 and sum(s * n for s, n in items) <= 50
+    for tier, items, times in p.pack_histogram(counts, 50):
+        assert times > 0 and tier == p.tier_of(items[0][0], 50) and sum(s * n for s, n in items) <= 50
         for s, n in items:
             used[s] += n * times
     assert used == counts
 
 
 def test_nearly_perfect_fills():
-    assert sum(t for _, t in p.pack_histogram({6: 10, 4: 10, 5: 10}, 10)) == 15
-    assert sum(t for _, t in p.pack_histogram({6: 10, 4: 10, 5: 10, 3: 10, 2: 10}, 10)) <= 21
+    assert sum(t for *_, t in p.pack_histogram({6: 10, 4: 10, 5: 10}, 10)) == 15
+    assert sum(t for *_, t in p.pack_histogram({6: 10, 4: 10, 5: 10, 3: 10, 2: 10}, 10)) <= 21
+
+
+def test_tiers_fill_the_gaps_of_longer_ones():
+    plan = p.pack_histogram({60: 2, 30: 3, 10: 3}, 100)
+    assert plan == [(0, ((60, 1), (30, 1), (10, 1)), 2), (1, ((30, 1), (10, 1)), 1)]
+
+
+def test_every_pair_of_sizes_is_seen():
+    counts = {1000: 1, **{s: 1 for s in range(401, 500)}, 10: 1, 389: 1}
+    # the gap of 399 is filled by the two smallest sizes alone
+    assert p.pack_histogram(counts, 1399)[0] == (0, ((1000, 1), (389, 1), (10, 1)), 1)
+
+
+def test_step_groups_have_nearly_the_same_tokens(spark):
+    s = spark.createDataFrame([(i, 1 + (i * i) % 97) for i in range(4000)], "doc_id long, n_tokens long")
+    sums = defaultdict(int)
+    for r in p.pack(s, spark.createDataFrame([(1, 100)], "capacity_id int, capacity_tokens int")).collect():
+        sums[r.step_group] += r.n_tokens
+    assert len(sums) > 20 and max(sums.values()) <= 1.05 * min(sums.values())
