@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.session import shared_folder
+from sedimenta.session import open_folder, shared_folder
 
 #: Rows that one stretch of a vector covers (fixed by Spark's bitmap functions), and its bytes.
 BITMAP_ROWS, BITMAP_BYTES = 32768, 4096
@@ -66,19 +66,13 @@ def winner_bitmaps(narrow: DataFrame, n_keys: int) -> DataFrame:
     return won.groupBy(_FILE, _PART).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({_ROW} + 1))").alias(_BITS))
 
 
-def _filesystem(folder: str):  # noqa: ANN202
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else "file://" + folder.removeprefix("file:"))
-
-
 def write_vectors(bitmaps: DataFrame) -> str:
     """Write the stretches of each file's vector one after the other into a file of the shared
     folder; returns the folder. A task that runs again writes the same."""
     folder = f"{shared_folder(bitmaps.sparkSession).rstrip('/')}/vectors-{uuid.uuid4().hex}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = _filesystem(folder)
+        files, root = open_folder(folder)
         files.create_dir(root, recursive=True)
         out, name, upto, mine = None, None, 0, f"{root}/.{uuid.uuid4().hex}"
         for batch in batches:
@@ -109,7 +103,7 @@ _opened: dict[tuple[str, int], np.ndarray] = {}
 def _vector(folder: str, file: int) -> np.ndarray:
     """Bits of a file; a file without winners has none. The last one stays open."""
     if (folder, file) not in _opened:
-        files, root = _filesystem(folder)
+        files, root = open_folder(folder)
         try:
             with files.open_input_stream(f"{root}/{file}") as f:
                 data = np.frombuffer(f.read(), np.uint8)

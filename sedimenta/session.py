@@ -66,6 +66,13 @@ def put(spark: SparkSession, name: str, data: bytes) -> str:
     return fs.makeQualified(path).toString()
 
 
+def open_folder(folder: str):  # noqa: ANN201
+    """(file system, path) of a folder by its URI, for tasks that read or write files of it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else "file://" + folder.removeprefix("file:"))
+
+
 _shipped: set[str] = set()
 
 
