@@ -2,11 +2,18 @@
 
 Labelers propose spans and vote on them: patterns of addresses, numbers and mail addresses,
 a gazetteer (a table of known names and the names of senders), and what stands left and
-right. Each vote is for, against or absent. Expectation maximisation over the counted vote
+right. Which words speak for a kind and which against it is counted over the corpus: words
+beside spans on which pattern and gazetteer agree, against words beside all other spans of the
+kind. Each vote is for, against or absent. Expectation maximisation over the counted vote
 vectors of the whole corpus estimates how reliable each labeler is, and with that how likely
 each vector marks a mention. These probabilities are the soft labels on which a logistic
 regression over votes, shapes and neighbouring words is trained; it decides on every span.
-Texts are read once; spans are kept in a table in between.
+Texts are read once to find mentions; spans are kept in a table in between. To replace them,
+texts are read once more, by a map that proposes, votes and decides as before.
+
+The gazetteer is a sorted file of hashes, mapped into memory by the workers. All statistics of
+words have a fixed number of slots into which words are hashed, so what reaches the driver is
+bounded whatever the corpus, and no word leaves it as the corpus grows.
 
 Defined results: null, empty and blank texts hold no mention; a span lies in one mention
 only, where kinds overlap addresses come before mail addresses, numbers and names; a mention
@@ -17,25 +24,32 @@ stands; repeated rows are judged one by one.
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.session import cut
+from sedimenta.session import cut, open_folder, put, shared_folder
 
 KINDS = ["address", "email", "identity", "phone", "name"]
 #: Rows of spans at most that the classifier is trained on, drawn by hash.
 TRAINING_ROWS = 200_000
-#: Slots of the classifier's hashed features; words of senders' names kept at most.
+#: Slots of the classifier's hashed features, and of the words beside spans.
 SLOTS = 1 << 14
-#: A word is a sender's name if it takes at least this share of all messages, so that the
-#: gazetteer is bounded.
-NAME_SHARE = 1e-5
+#: Times a word must occur as a sender's name to enter the gazetteer.
+NAME_LEAST = 2
+#: A word that stands beside spans so often speaks for them if these are at least, and against
+#: if at most, so great a share of the different ones expected; of which GROUPS are told apart.
+OFTEN, MANY, FEW, GROUPS = 8, 0.6, 0.3, 63
+#: Gazetteer: what a word is.
+GIVEN, FAMILY, LOWERED = 1, 2, 4
 
 #: A blank or one line end, with marks of quotation.
 _W = r"(?:[ \xa0]|[ \t]*\r?\n(?:[A-Z]{1,3}> ?|[>|] ?)*[ \t]*)"
@@ -84,32 +98,22 @@ _PAIR = re.compile(rf"{_W}")
 _COMMA = re.compile(rf",{_W}")
 _INITIAL = re.compile(rf"(?<![\w.])[^\W\d_]\.{_W}?$")
 _ODD_BEFORE = re.compile(rf"(?<![\w])([^\W\d_][^\s,;:()<>\"]*[^\x00-\x7f][^\s,;:()<>\"]*){_W}$")
+_ODD_BEHIND = re.compile(rf"{_W}([^\W\d_][^\s,;:()<>\"]*[^\x00-\x7f][^\s,;:()<>\"]*)")
 _NAMED = re.compile(rf"(?<![^\s>|*,:(])([^\W\d_][^\s<>:,]*(?:{_W}[^\W\d_][^\s<>:,]*)?){_W}<?$")
-_WORD_LEFT = re.compile(r"([^\W\d_]+)[^\w.!?]*$")
 _WORD_RIGHT = re.compile(rf"(?:[ \xa0,'’]|{_W})([^\W\d_]+)")
 _PARTICLE = re.compile(rf"{_W}(?:(?:[^\W\d_]\.|von{_W}der|von|van{_W}der|van{_W}de|van|de{_W}la|de|da|di|del|zu){_W})?")
 
-# Words beside mentions, and ordinary words that are also given names.
-NEAR = {
-    "phone": set("tel telefon telephone phone call reach at fax mobile mobil".split()),
-    "identity": set("id passport tax is number ssn nif dni nino steuer passeport pasaporte".split()),
-    "address": set("to is address systems labs oy chips gmbh".split()),
-    "email": set("mail to by from asked cc reported write contact logs".split()),
-    "name": set("hello hi dear says up with asked call request paper by from von de rather take as and ccing".split()),
-}
-AGAINST_LEFT = {"phone": set("build code sizes slope version release bug".split()), "identity": set("build code sizes slope version release bug".split()), "address": set(), "email": set(), "name": set("the a this an".split())}
-AGAINST_RIGHT = {"phone": set("per in was all".split()), "identity": set("in per was all".split()), "address": set(), "email": set(), "name": set("board period the it page be not".split())}
-ORDINARY = set("will mark rose grace may june april august art bill bob dean drew faith frank gene grant hope jack joy max miles norm pat ray rob robin rusty sandy sky sue victor wade summer ivy iris lily daisy penny ginger pearl ruby amber crystal dawn hazel holly olive violet chase hunter mason carter cook page lane".split())
-
 N_VOTES = 4
-N_FEATURES = 6
+N_FEATURES = 5
+#: Slots of vote vectors, behind those of other features.
+VOTE_SLOTS = 512
 
 
 def _hash(*parts: object) -> int:
     h = 2166136261
     for b in "\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"):
         h = ((h ^ b) * 16777619) & 0xFFFFFFFF
-    return (h ^ (h >> 15)) & (SLOTS - 1)
+    return (h ^ (h >> 15)) % (SLOTS - 1) + 1
 
 
 _hashed: dict[tuple, int] = {}
@@ -124,39 +128,113 @@ def slot(*parts: object) -> int:
     return v
 
 
+def name_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+class Gazetteer:
+    """What words are, by a sorted table of their hashes."""
+
+    def __init__(self, hashes: np.ndarray, flags: np.ndarray) -> None:
+        self.hashes, self.flags = hashes, flags
+        self.known: dict[str, int] = {}
+
+    @classmethod
+    def of(cls, given: set[str], family: set[str]) -> Gazetteer:
+        flags: dict[int, int] = {}
+        for word, flag in [*((w, GIVEN) for w in given - family), *((w, FAMILY) for w in family - given), *((w, GIVEN) for w in family & given)]:
+            for form, f in ((word, flag), (word.upper(), flag), (word.lower(), LOWERED)):
+                flags[name_hash(form)] = flags.get(name_hash(form), 0) | f
+        order = sorted(flags)
+        return cls(np.array(order, np.uint64), np.array([flags[h] for h in order], np.uint8))
+
+    @classmethod
+    def mapped(cls, path: str) -> Gazetteer:
+        table = np.memmap(path, np.dtype([("hash", "<u8"), ("flags", "u1")]), "r") if np.fromfile(path, np.uint8, 1).size else np.zeros(0, np.dtype([("hash", "<u8"), ("flags", "u1")]))
+        return cls(table["hash"], table["flags"])
+
+    def __getitem__(self, word: str) -> int:
+        f = self.known.get(word)
+        if f is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            h = np.uint64(name_hash(word))
+            at = int(np.searchsorted(self.hashes, h))
+            f = self.known[word] = int(self.flags[at]) if at < len(self.hashes) and self.hashes[at] == h else 0
+        return f
+
+
+#: A word that begins with a capital, up to where letters that need no blanks begin, and its parts.
+_CAPITAL = re.compile(r"(?<![^\W⺀-\U0010ffff])(?<!@)[^\W\d_a-z⺀-\U0010ffff][^\W⺀-\U0010ffff]*(?:['’-][^\W⺀-\U0010ffff]+)*")
+_PART = re.compile(r"[^\W_]+")
+
+
+def back(text: str, at: int, tokens: int) -> int:
+    """Where the last so many tokens before a position begin."""
+    for _ in range(tokens):
+        while at > 0 and text[at - 1].isspace():
+            at -= 1
+        while at > 0 and not text[at - 1].isspace():
+            at -= 1
+    return at
+
+
+def left_word(text: str, a: int) -> str:
+    """The word before a position in lower case, unless a sentence or mark of quotation ends in
+    between."""
+    e = a
+    while e > 0 and not text[e - 1].isalpha():
+        if text[e - 1] in ".!?>|" or text[e - 1].isalnum() or text[e - 1] == "_":
+            return ""
+        e -= 1
+    s = e
+    while s > 0 and text[s - 1].isalpha():
+        s -= 1
+    return text[s:e].lower()
+
+
+def right_word(text: str, b: int) -> str:
+    m = _WORD_RIGHT.match(text, b)
+    return m[1].lower() if m else ""
+
+
+def word_slot(kind: int, word: str) -> int:
+    return slot("w", kind, word) if word else 0
+
+
+@dataclass(frozen=True)
+class Span:
+    start: int
+    end: int
+    kind: int
+    pattern: int
+    known: int
+    against: int
+    shape: str
+
+
 class Labelers:
     """Proposes spans of a text with votes of the labelers."""
 
-    def __init__(self, given: set[str], family: set[str]) -> None:
-        self.given, self.family = given, family
-        self.lowered = {x.lower() for x in given | family}
-        a = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for w in given | family:
-            for form in {w, w.upper()}:
-                if len(form) > 1:
-                    a.add_word(form, (len(form), w))
-        a.make_automaton()
-        self.names = a if len(a) else None
-
-    def spans(self, text: str) -> list[tuple[int, int, int, tuple[int, ...], str]]:
-        """(start, end, kind, votes, shape), without overlaps, by start. votes: of the
-        pattern, the gazetteer, the words left and right, and what speaks against."""
-        out: list[tuple[int, int, int, tuple[int, ...], str]] = []
+    def __init__(self, names: Gazetteer) -> None:
+        self.names = names
+
+    def named(self, local: str) -> bool:
+        return any(len(w) > 2 and self.names[w] & LOWERED for w in re.split(r"[\W\d_]+", local.lower()))
+
+    def spans(self, text: str) -> list[Span]:
+        """Spans without overlaps, by start, with the votes of the pattern and the gazetteer
+        and what in their shape speaks against."""
+        out: list[Span] = []
         taken: list[tuple[int, int]] = []
 
         def free(a: int, b: int) -> bool:
             k = bisect_left(taken, (b, b))
             return k == 0 or taken[k - 1][1] <= a
 
-        def beside(kind: str, a: int, b: int) -> tuple[int, int]:
-            left, right = _WORD_LEFT.search(text, max(0, a - 24), a), _WORD_RIGHT.match(text, b, b + 24)
-            lw, rw = left and left[1].lower(), right and right[1].lower()
-            return (1 if lw in NEAR[kind] else 0), (-1 if lw in AGAINST_LEFT[kind] or rw in AGAINST_RIGHT[kind] else 0)
-
         def add(kind: str, a: int, b: int, pattern: int, known: int, shape: str, against: int = 0) -> None:
-            near, no = beside(kind, a, b)
             insort(taken, (a, b))
-            out.append((a, b, KINDS.index(kind), (pattern, known, near, against or no), shape))
+            out.append(Span(a, b, KINDS.index(kind), pattern, known, against, shape))
 
         for h in _ADDRESS_HINTS:
             if h in text:
@@ -165,19 +243,21 @@ class Labelers:
                 break
         at = text.find("@")
         while at >= 0:
-            d, local = _DOMAIN.match(text, at + 1), _LOCAL.search(text, max(0, at - 64), at)
-            if d and local:
-                a, b = local.start(), d.end()
-                head = local[0].lstrip(".-+")
-                a += len(local[0]) - len(head)
+            d, a = _DOMAIN.match(text, at + 1), at
+            while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "_.+-"):
+                a -= 1
+            if d and a < at:
+                b = d.end()
+                head = text[a:at].lstrip(".-+")
+                a = at - len(head)
                 # wrapped behind a hyphen
-                if head and (h := _HARDBREAK.search(text, max(0, a - 70), a)) and _LOCAL.search(h[0].rstrip("-> |\t\r\n") or " "):
+                if head and text[a - 1 : a] in (" ", "\n", ">", "|", "\t") and (h := _HARDBREAK.search(text, back(text, a, 3), a)) and _LOCAL.search(h[0].rstrip("-> |\t\r\n") or " "):
                     stem = re.match(r"[\w.+-]*", h[0])[0]
-                    if stem.strip("-").lower() in self.lowered:
+                    if self.names[stem.strip("-").lower()] & LOWERED:
                         a = h.start()
                 if head and free(a, b):
                     made = _MADE_UP.search(head) is not None
-                    known = 1 if any(len(w) > 2 and w in self.lowered for w in re.split(r"[\W\d_]+", head.lower())) else 0
+                    known = 1 if self.named(head) else 0
                     before = text[max(0, a - 12) : a]
                     if before.endswith("message <") or (before.lower().endswith("id: <")):
                         made = True
@@ -186,7 +266,7 @@ class Labelers:
         if _DISGUISE.search(text):
             for m in _DISGUISED.finditer(text):
                 if free(m.start(), m.end()) and _DISGUISE.search(m[0]):
-                    known = 1 if any(len(w) > 2 and w in self.lowered for w in re.split(r"[\W\d_]+", m[0].lower())) else 0
+                    known = 1 if self.named(m[0]) else 0
                     add("email", m.start(), m.end(), 1, known, "disguised")
         if _NUMBERISH.search(text):
             for m in PHONE.finditer(text):
@@ -197,43 +277,39 @@ class Labelers:
                 if free(m.start(), m.end()):
                     add("identity", m.start(), m.end(), 1, 1 if re.search("[A-Z]", m[0]) else 0, re.sub("[A-Z]", "A", re.sub(r"\d", "9", m[0])))
         self._names(text, free, add, out)
-        out.sort()
+        out.sort(key=lambda x: x.start)
         return out
 
     def _names(self, text: str, free, add, out) -> None:  # noqa: ANN001
-        mails = sorted((a, b) for a, b, k, _, _ in out if k == 1)
-        hits: list[tuple[int, int, str]] = []
-        if self.names is not None:
-            for end, (n, w) in self.names.iter(text):
-                a, b = end - n + 1, end + 1
-                if a and (text[a - 1].isalnum() and text[a - 1] < "⺀" or text[a - 1] in "_@") or b < len(text) and (text[b].isalnum() and text[b] < "⺀" or text[b] == "_"):
-                    continue
-                if hits and hits[-1][1] > a:
-                    if b - a > hits[-1][1] - hits[-1][0]:
-                        hits.pop()
-                    else:
-                        continue
-                hits.append((a, b, w))
+        mails = sorted((x.start, x.end) for x in out if x.kind == 1)
+        hits: list[tuple[int, int, int]] = []
+        for m in _CAPITAL.finditer(text):
+            if f := self.names[m[0]] & (GIVEN | FAMILY):
+                hits.append((m.start(), m.end(), f))
+            elif not m[0].isalnum():
+                for x in _PART.finditer(m[0]):
+                    if f := self.names[x[0]] & (GIVEN | FAMILY):
+                        hits.append((m.start() + x.start(), m.start() + x.end(), f))
         hits = [h for h in hits if free(h[0], h[1])]
         used = -1
         i = 0
         while i < len(hits):
-            a, b, w = hits[i]
+            a, b, f = hits[i]
             i += 1
             if a < used:
                 continue
             nxt = hits[i] if i < len(hits) else None
-            if w in self.given and nxt and nxt[2] in self.family and _PARTICLE.fullmatch(text, b, nxt[0]):
+            if f & GIVEN and nxt and nxt[2] & FAMILY and _PARTICLE.fullmatch(text, b, nxt[0]):
                 add("name", a, nxt[1], 1, 1, "full")
                 used = nxt[1]
-            elif w in self.family:
-                if nxt and nxt[2] in self.given and _COMMA.fullmatch(text, b, nxt[0]) and not (i + 1 < len(hits) and hits[i + 1][2] in self.family and _PAIR.fullmatch(text, nxt[1], hits[i + 1][0])):
+            elif f & FAMILY:
+                if nxt and nxt[2] & GIVEN and _COMMA.fullmatch(text, b, nxt[0]) and not (i + 1 < len(hits) and hits[i + 1][2] & FAMILY and _PAIR.fullmatch(text, nxt[1], hits[i + 1][0])):
                     add("name", a, nxt[1], 1, 1, "turned")
                     used = nxt[1]
-                elif m := _INITIAL.search(text, max(0, a - 12), a):
+                elif m := _INITIAL.search(text, back(text, a, 3), a):
                     add("name", m.start(), b, 1, 1, "initial")
                     used = b
-                elif (m := _ODD_BEFORE.search(text, max(0, a - 30), a)) and m.start(1) >= used and m[1][0].isupper() and m[1][0] < "⺀":
+                elif (m := _ODD_BEFORE.search(text, back(text, a, 3), a)) and m.start(1) >= used and m[1][0].isupper() and m[1][0] < "⺀":
                     add("name", m.start(1), b, 1, 1, "odd")
                     used = b
                 else:
@@ -241,20 +317,21 @@ class Labelers:
                     used = b
             else:
                 # a given name before a word that may be a damaged family name
-                m = re.compile(rf"{_W}([^\W\d_][^\s,;:()<>\"]*[^\x00-\x7f][^\s,;:()<>\"]*)").match(text, b, b + 40)
+                m = _ODD_BEHIND.match(text, b)
                 if m and m[1][0].isupper() and m[1][0] < "⺀":
                     add("name", a, m.end(1), 1, 1, "odd")
                     used = m.end(1)
                     continue
-                ordinary = w.lower() in ORDINARY
                 after = text[b : b + 2]
                 line_start = a == 0 or text[a - 1] == "\n" or text[max(0, a - 2) : a] in ("> ", "| ")
-                calls = after[:1] == "," and line_start or after in ("'s", "’s") or after[:1] in ":"
-                add("name", a, b, 1 if calls else 0, 1, f"given{'?' if ordinary else ''}", -1 if ordinary and re.match(r" [a-z]", after) and not calls else 0)
+                calls = after[:1] == "," and line_start or after in ("'s", "’s") or after[:1] == ":"
+                # a small letter behind it goes on with a sentence
+                goes_on = after[:1] == " " and after[1:].islower()
+                add("name", a, b, 1 if calls else 0, 1, "given" if calls or not goes_on else "given?")
                 used = b
         # whoever stands before a mail address
         for a, b in mails:
-            m = _NAMED.search(text, max(0, a - 60), a)
+            m = _NAMED.search(text, back(text, a, 5), a)
             if m and text[a - 1 : a] in "< (" and text[m.end(1) : a].strip(" \r\n>|\t") in ("<", "") and text[a - 1] == "<":
                 s = m.start(1)
                 words = m[1].split()
@@ -262,11 +339,11 @@ class Labelers:
                     add("name", s, m.end(1), 1, 0, "before-mail")
 
 
-def features(text: str, a: int, b: int, kind: int, votes: tuple[int, ...], shape: str) -> list[int]:
-    left, right = _WORD_LEFT.search(text, max(0, a - 24), a), _WORD_RIGHT.match(text, b, b + 24)
-    word = text[a:b].lower() if kind == 4 and shape.startswith("given?") else ""
-    rw = right[1].lower() if right else ""
-    return [slot(kind), slot(kind, "v", votes), slot(kind, "s", shape), slot(kind, "l", left[1].lower() if left else ""), slot(kind, "r", rw), slot(kind, "w", word, rw if word else "")]
+def features(text: str, x: Span, left: str, right: str) -> list[int]:
+    """Slots of shape and neighbouring words; of a word that may be an ordinary one also of the
+    word itself."""
+    word = text[x.start : x.end].lower() if x.shape == "given?" else ""
+    return [slot(x.kind), slot(x.kind, "s", x.shape), slot(x.kind, "l", left), slot(x.kind, "r", right), slot(x.kind, "w", word, right if word else "")]
 
 
 def vote_code(votes: tuple[int, ...]) -> int:
@@ -310,12 +387,12 @@ def estimate(counts: dict[tuple[int, int], int], rounds: int = 50) -> dict[tuple
 def train(slots: np.ndarray, labels: np.ndarray, epochs: int = 12, rate: float = 0.5, ridge: float = 1e-5) -> np.ndarray:
     """Weights of a logistic regression on hashed features and soft labels (Adagrad over
     batches in the order given)."""
-    w, g2 = np.zeros(SLOTS), np.full(SLOTS, 1e-8)
+    w, g2 = np.zeros(SLOTS + VOTE_SLOTS), np.full(SLOTS + VOTE_SLOTS, 1e-8)
     for _ in range(epochs):
         for at in range(0, len(labels), 4096):
             s, y = slots[at : at + 4096], labels[at : at + 4096]
             p = 1 / (1 + np.exp(-np.clip(w[s].sum(1), -30, 30)))
-            g = np.zeros(SLOTS)
+            g = np.zeros(SLOTS + VOTE_SLOTS)
             np.add.at(g, s.ravel(), np.repeat((p - y) / len(y), s.shape[1]))
             g += ridge * w
             g2 += g * g
@@ -323,67 +400,168 @@ def train(slots: np.ndarray, labels: np.ndarray, epochs: int = 12, rate: float =
     return w
 
 
-def sender_names(emails: DataFrame, known: DataFrame) -> tuple[set[str], set[str]]:
-    """(given, family): the known names and those of senders. A word of senders must take a
-    share of NAME_SHARE of all messages, which bounds their number."""
-    given = {r["name"] for r in known.filter("name_part = 'given' and name is not null").select("name").distinct().toLocalIterator()}
-    family = {r["name"] for r in known.filter("name_part = 'family' and name is not null").select("name").distinct().toLocalIterator()}
+def gazetteer(emails: DataFrame, known: DataFrame) -> str:
+    """Name of the gazetteer's file, given to all workers: the known names and the words of
+    senders' names that occur several times. One task writes it, name by name."""
+    spark = emails.sparkSession
     words = F.split(F.trim("from_name"), r"\s+")
     plain = r"^\p{Lu}[\p{L}'’-]+$"
-    parts = emails.select(words.alias("w")).filter(F.size("w") == 2).select(F.explode(F.arrays_zip(F.lit([0, 1]).cast("array<int>").alias("p"), F.col("w").alias("w"))).alias("x")).select("x.p", "x.w").filter(F.col("w").rlike(plain))
-    counted = parts.groupBy("p", "w").agg(F.count("*").alias("n"))
-    total = emails.count()
-    for r in counted.filter(F.col("n") >= max(2, NAME_SHARE * total)).toLocalIterator():
-        (given if r["p"] == 0 else family).add(r["w"])
-    return given, family - given
-
-
-_labelers: dict[int, Labelers] = {}
+    parts = emails.select(words.alias("w")).filter(F.size("w") == 2).select(F.posexplode("w").alias("p", "w")).filter(F.col("w").rlike(plain))
+    senders = parts.groupBy("p", "w").agg(F.count("*").alias("n")).filter(F.col("n") >= NAME_LEAST).select("w", F.when(F.col("p") == 0, GIVEN).otherwise(FAMILY).alias("f"))
+    listed = known.filter("name is not null and name_part in ('given', 'family')").select(F.col("name").alias("w"), F.when(F.col("name_part") == "given", GIVEN).otherwise(FAMILY).alias("f"))
+    names = senders.unionByName(listed).groupBy("w").agg(F.when(F.bit_or("f").bitwiseAND(GIVEN) > 0, GIVEN).otherwise(FAMILY).alias("f"))
+    forms = names.select(F.explode(F.array(F.struct("w", "f"), F.struct(F.upper("w").alias("w"), F.col("f")), F.struct(F.lower("w").alias("w"), F.lit(LOWERED).alias("f")))).alias("x")).select("x.*")
+    name = f"{uuid.uuid4().hex}.names"
+    folder = shared_folder(spark).rstrip("/")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = [(name_hash(w), f) for batch in batches for w, f in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        merged: dict[int, int] = {}
+        for h, f in table:
+            merged[h] = merged.get(h, 0) | f
+        files, root = open_folder(folder)
+        with files.open_output_stream(f"{root}/{name}") as out:
+            out.write(np.array(sorted(merged.items()), np.dtype([("hash", "<u8"), ("flags", "u1")])).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([len(merged)], pa.int64())], ["n"])
+
+    put(spark, name, b"")  # what stands there if there is no name
+    forms.repartition(1).mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+    spark.sparkContext.addFile(f"{folder}/{name}")
+    return name
+
+
+_labelers: dict[str, Labelers] = {}
+
+
+def labelers_of(name: str) -> Labelers:
+    if name not in _labelers:
+        _labelers.clear()
+        _labelers[name] = Labelers(Gazetteer.mapped(SparkFiles.get(name)))
+    return _labelers[name]
+
+
+_SPANS = ["tab", "row_id", "kind", "start", "end", "pattern", "known", "against", "what", "left", "right", *(f"f{i}" for i in range(N_FEATURES))]
+_SPAN_TYPES = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * (6 + N_FEATURES)]
+
+
+def what(text: str, x: Span) -> int:
+    """Group of what a span holds: its words, of numbers their shape; what its shape speaks
+    against is one group."""
+    if x.against:
+        return slot("h", x.kind) % GROUPS
+    held = x.shape if KINDS[x.kind] in ("phone", "identity") else " ".join(_PART.findall(text[x.start : x.end].lower()))
+    return slot("h", x.kind, held) % GROUPS
+
+
+def rows_of(labelers: Labelers, tab: str, row: int, text: str) -> list[tuple]:
+    """Spans of a text as rows of _SPANS."""
+    out = []
+    for x in labelers.spans(text):
+        left, right = left_word(text, x.start), right_word(text, x.end)
+        # a name beside an address says whose it is, not what
+        sides = [0 if labelers.names[w] & LOWERED else word_slot(x.kind, w) for w in (left, right)]
+        out.append((tab, row, x.kind, x.start, x.end, x.pattern, x.known, x.against, what(text, x), *sides, *features(text, x, left, right)))
+    return out
 
 
-def propose(texts: DataFrame, given: set[str], family: set[str]) -> DataFrame:
-    """(tab, row_id, kind, start, end, votes, f0..): spans of texts (tab, row_id, text)."""
-    shared = texts.sparkSession.sparkContext.broadcast((given, family))
-    key = hash((frozenset(given), frozenset(family)))
-    names = ["tab", "row_id", "kind", "start", "end", "votes", *(f"f{i}" for i in range(N_FEATURES))]
-    types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * (1 + N_FEATURES)]
+def propose(texts: DataFrame, names: str) -> DataFrame:
+    """Spans of texts (tab, row_id, text), without what words beside them vote."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labelers = _labelers.get(key)
-        if labelers is None:
-            _labelers.clear()
-            labelers = _labelers[key] = Labelers(*shared.value)
+        labelers = labelers_of(names)
         for batch in batches:
-            rows: list[tuple] = []
-            for tab, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for a, b, kind, votes, shape in labelers.spans(text):
-                    rows.append((tab, row, kind, a, b, vote_code(votes), *features(text, a, b, kind, votes, shape)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    kind = "tab string, row_id long, kind int, start long, end long, votes int, " + ", ".join(f"f{i} int" for i in range(N_FEATURES))
+            rows = [r for tab, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in rows_of(labelers, tab, row, text)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_SPANS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SPAN_TYPES, strict=True)], _SPANS)
+
+    kind = ", ".join(f"{c} {'string' if c == 'tab' else 'long' if c in ('row_id', 'start', 'end') else 'int'}" for c in _SPANS)
     return texts.select("tab", "row_id", "text").filter("trim(text) <> ''").mapInArrow(scan, kind)
 
 
-def classify(spans: DataFrame) -> DataFrame:
-    """spans that are mentions, by a classifier trained on the votes of all."""
+@dataclass
+class Judge:
+    """What was learned: for each slot of words on either side of a span whether it speaks for
+    (1) or against (-1) it, and the classifier."""
+
+    left: np.ndarray
+    right: np.ndarray
+    weights: np.ndarray | None = None
+
+    def votes(self, columns: dict[str, np.ndarray]) -> np.ndarray:
+        """Codes of the vote vectors: pattern, gazetteer, words for, and against."""
+        left, right = self.left[columns["left"]], self.right[columns["right"]]
+        near = ((left > 0) | (right > 0)).astype(np.int64)
+        against = np.where((columns["against"] < 0) | (left < 0) | (right < 0), -1, 0)
+        code = np.zeros(len(left), np.int64)
+        for v in (columns["pattern"], columns["known"], near, against):
+            code = code * 3 + v + 1
+        return code
+
+    def slots(self, columns: dict[str, np.ndarray], votes: np.ndarray) -> np.ndarray:
+        of_votes = (columns["kind"].astype(np.int64) * 3**N_VOTES + votes) % VOTE_SLOTS + SLOTS
+        return np.stack([*(columns[f"f{i}"].astype(np.int64) for i in range(N_FEATURES)), of_votes], 1)
+
+    def mentions(self, columns: dict[str, np.ndarray]) -> np.ndarray:
+        return self.weights[self.slots(columns, self.votes(columns))].sum(1) > 0
+
+
+def numbers_of(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {c: batch.column(i).to_numpy() for i, c in enumerate(batch.schema.names) if c != "tab"}
+
+
+def beside(spans: DataFrame) -> Judge:
+    """Words that speak for and against, from how many different spans they stand beside."""
+    held = spans.groupBy("kind", "what").agg(F.count("*").alias("n")).toPandas()  # kinds x groups
+    out = []
+    for side in ("left", "right"):
+        bit = F.expr("shiftleft(cast(1 as bigint), what)")
+        seen = spans.filter(f"{side} > 0").groupBy("kind", side).agg(F.count("*").alias("n"), F.bit_count(F.bit_or(bit)).alias("groups")).filter(F.col("n") >= OFTEN).toPandas()  # at most kinds x slots
+        table = np.zeros(SLOTS, np.int8)
+        for kind, k in seen.groupby("kind"):
+            share = held.loc[held["kind"] == kind, "n"].to_numpy(float)
+            share /= share.sum()
+            expected = (1 - (1 - share[None, :]) ** k["n"].to_numpy(float)[:, None]).sum(1)
+            part = k["groups"].to_numpy(float) / expected
+            table[k[side].to_numpy()] = np.where(part >= MANY, 1, np.where(part <= FEW, -1, 0))
+        out.append(table)
+    return Judge(*out)
+
+
+def learned(spans: DataFrame) -> Judge:
+    """A classifier trained on the votes of all spans."""
     spark = spans.sparkSession
-    counts = {(r["kind"], r["votes"]): r["n"] for r in spans.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()}  # at most kinds x 3^labelers
+    judge = beside(spans)
+    shared = spark.sparkContext.broadcast(judge)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = numbers_of(batch)
+            pairs, n = np.unique(np.stack([c["kind"].astype(np.int64), shared.value.votes(c)]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(n.astype(np.int64))], ["kind", "votes", "n"])
+
+    counted = spans.mapInArrow(count, "kind long, votes long, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n"))
+    counts = {(r["kind"], r["votes"]): r["n"] for r in counted.collect()}  # at most kinds x 3^labelers
     soft = estimate(counts)
     total = sum(counts.values())
     draw = spans if total <= TRAINING_ROWS else spans.filter(F.pmod(F.xxhash64("tab", "row_id", "start"), F.lit(1_000_000)) < int(1_000_000 * TRAINING_ROWS / total))
-    sample = draw.select("kind", "votes", *(f"f{i}" for i in range(N_FEATURES))).toPandas()
+    used = ["kind", "pattern", "known", "against", "left", "right", *(f"f{i}" for i in range(N_FEATURES))]
+    sample = draw.select(*used).toPandas()
     # the same order whatever the partitioning, then a fixed shuffle for training
-    sample = sample.sort_values(list(sample.columns)).sample(frac=1.0, random_state=42)
-    slots = sample[[f"f{i}" for i in range(N_FEATURES)]].to_numpy(np.int64)
-    labels = np.array([soft[(k, v)] for k, v in zip(sample["kind"], sample["votes"], strict=True)], float)
-    shared = spark.sparkContext.broadcast(train(slots, labels))
+    sample = sample.sort_values(used).sample(frac=1.0, random_state=42)
+    columns = {c: sample[c].to_numpy() for c in used}
+    votes = judge.votes(columns)
+    labels = np.array([soft[k, v] for k, v in zip(columns["kind"].tolist(), votes.tolist(), strict=True)], float)
+    judge.weights = train(judge.slots(columns, votes), labels)
+    return judge
+
+
+def decided(spans: DataFrame, judge: Judge) -> DataFrame:
+    """(tab, row_id, kind, start_pos, end_pos) of the spans that are mentions."""
+    shared = spans.sparkSession.sparkContext.broadcast(judge)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
         for batch in batches:
-            f = np.stack([batch.column(batch.schema.get_field_index(f"f{i}")).to_numpy() for i in range(N_FEATURES)], 1) if batch.num_rows else np.zeros((0, N_FEATURES), np.int64)
-            yield batch.select(["tab", "row_id", "kind", "start", "end"]).filter(pa.array(w[f].sum(1) > 0))
+            yield batch.select(["tab", "row_id", "kind", "start", "end"]).filter(pa.array(shared.value.mentions(numbers_of(batch))))
 
     mentions = spans.mapInArrow(keep, "tab string, row_id long, kind int, start long, end long")
     return mentions.select("tab", "row_id", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1).alias("kind"), F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
@@ -391,17 +569,41 @@ def classify(spans: DataFrame) -> DataFrame:
 
 def find_mentions(texts: DataFrame, emails: DataFrame, known: DataFrame) -> DataFrame:
     """(tab, row_id, kind, start_pos, end_pos) of mentions in texts (tab, row_id, text)."""
-    return classify(cut(propose(texts, *sender_names(emails, known))))
-
-
-def replace(texts: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(tab, row_id, text) with placeholders such as [NAME] for mentions; (tab, row_id)
-    tells texts apart."""
-    at = mentions.groupBy("tab", "row_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "kind"))).alias("m"))
-    j = texts.select("tab", "row_id", "text").join(at, ["tab", "row_id"], "left")
-    start = F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("upto"))
-    cut_in = lambda acc, m: F.struct(
-        F.concat(acc["done"], F.substring(F.col("text"), (acc["upto"] + 1).cast("int"), (m["start_pos"] - acc["upto"]).cast("int")), F.lit("["), F.upper(m["kind"]), F.lit("]")).alias("done"), m["end_pos"].alias("upto")
-    )
-    done = F.aggregate("m", start, cut_in, lambda acc: F.concat(acc["done"], F.substring(F.col("text"), (acc["upto"] + 1).cast("int"), F.length("text"))))
-    return j.select("tab", "row_id", F.when(F.col("m").isNull(), F.col("text")).otherwise(done).alias("text"))
+    spans = cut(propose(texts, gazetteer(emails, known)))
+    return decided(spans, learned(spans))
+
+
+def replaced(text: str, mentions: list[tuple[int, int, int]]) -> str:
+    """text with placeholders such as [NAME]; mentions (start, end, kind) by start."""
+    out, at = [], 0
+    for a, b, kind in mentions:
+        out += [text[at:a], "[", KINDS[kind].upper(), "]"]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def replace(texts: DataFrame, emails: DataFrame, known: DataFrame) -> DataFrame:
+    """(tab, row_id, text) with placeholders for mentions; null texts stay null. Texts pass
+    through a map and are shuffled nowhere."""
+    names = gazetteer(emails, known)
+    shared = texts.sparkSession.sparkContext.broadcast(learned(cut(propose(texts, names))))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labelers = labelers_of(names)
+        for batch in batches:
+            tabs, ids, values = (c.to_pylist() for c in batch.columns)
+            rows, of = [], []
+            for i, text in enumerate(values):
+                found = rows_of(labelers, "", 0, text) if text and not text.isspace() else []
+                rows += found
+                of += [i] * len(found)
+            if rows:
+                columns = {c: np.array(v) for c, v in zip(_SPANS[2:], list(zip(*rows, strict=True))[2:], strict=True)}
+                mentions: dict[int, list[tuple[int, int, int]]] = {}
+                for k in np.flatnonzero(shared.value.mentions(columns)).tolist():
+                    mentions.setdefault(of[k], []).append((rows[k][3], rows[k][4], rows[k][2]))
+                for i, m in mentions.items():
+                    values[i] = replaced(values[i], m)
+            yield pa.RecordBatch.from_arrays([pa.array(tabs, pa.string()), pa.array(ids, pa.int64()), pa.array(values, pa.string())], ["tab", "row_id", "text"])
+
+    return texts.select("tab", "row_id", "text").mapInArrow(scan, "tab string, row_id long, text string")

@@ -113,18 +113,18 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.unionByName(m)
 
 
-def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.find_mentions(_texts(spark, sf_dir), table(spark, sf_dir, "emails"), table(spark, sf_dir, "known_names"))
+def _names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf_dir, "emails"), table(spark, sf_dir, "known_names")
 
 
 @registry.query("p6_found")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mentions(spark, sf_dir).select("tab", "row_id", "kind", "start_pos")
+    return personal.find_mentions(_texts(spark, sf_dir), *_names(spark, sf_dir)).select("tab", "row_id", "kind", "start_pos")
 
 
 @registry.query("p6_replaced")
 def p6_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.replace(_texts(spark, sf_dir), _mentions(spark, sf_dir))
+    return personal.replace(_texts(spark, sf_dir), *_names(spark, sf_dir))
 
 
 @registry.query("p7_ids")

@@ -19,19 +19,40 @@ CASES = [
 ]
 
 
+MORE_GIVEN = [f"{a}{b}" for a in ("Ba", "Co", "Di", "Fe", "Gu", "Hal") for b in ("rin", "mar", "lda", "wen", "tan")]
+MORE_FAMILY = [f"{a}{b}" for a in ("North", "Quel", "Stur", "Tarn", "Wex") for b in ("feld", "dersen", "pitz", "vane", "holm", "gren")]
+
+
+def filler():
+    """Texts with many names, numbers and addresses, and with what looks like some but is always
+    the same."""
+    for i in range(240):
+        g, f, n = MORE_GIVEN[i % 30], MORE_FAMILY[(i * 7) % 30], 100 + i
+        yield [
+            f"Mail {g.lower()}.{f.lower()}@x.example or {g.lower()}-{f.lower()} (at) y.example now. The note of {g} {f} is long.",
+            f"Write to {g.lower()}.{f.lower()} at kestrel dot example. Dear {g},\nsays {g}. {f}, {g} and A. {f}",
+            f"In message <20080105.6f5f{n:04x}-digest@lists.example.org>, {g} {f} wrote:",
+            f"Call {g} at {{}} or {{}}, tel. {{}} or {{}} or {{}}".format(*(x := [f"+1 (202) 555-0{n}", f"+49 (0)30 / 23125-{n}", f"01.99.00.62.{i % 90 + 10}", f"{n}-{n}-0{n}", f"{n}.{n}.0{n}"])[i // 8 % 5 :], *x[: i // 8 % 5]),
+            f"Build 2014.555.0{n} was good. Sizes 1024-4096-8{n}. The Rose board. Mark the page dirty. Will it build?",
+            "passport {}, id {}, id {} and {}".format(*(x := [f"{n}-37-5{n}", f"QQ {i % 90 + 10} 76 86 C", f"171{n}-5{n}", f"71137{n}G"])[i // 8 % 4 :], *x[: i // 8 % 4]),
+            f"Send it to Flat 17, {n} Copper Close, Norhafen TN5 8XX, or to P.O. Box {n}, Kesselau 42459",
+            f"Millweg {n}c, D-32856 Thalby and {n}, rue du Sandpiper, 25466 Pelvane.",
+        ][i % 8]
+
+
 @pytest.fixture(scope="module")
 def mentions(spark):
     rows = [("t", i, t) for i, (t, _) in enumerate(CASES)]
-    filler = [("f", 1000 + 20 * i + j, t) for i in range(20) for j, (t, _) in enumerate(CASES)]
+    filler_rows = [("f", 1000 + i, t) for i, t in enumerate(filler())]
     extra = [("t", 500, None), ("t", 501, ""), ("t", 502, "  ")]
-    texts = spark.createDataFrame([*rows, *filler, *extra], "tab string, row_id long, text string").selectExpr("*", "'x' as kind", "1 as m")
-    emails = spark.createDataFrame([("Zoë Marby",), ("Ann Lee",), (None,), ("Odd",)] * 3, "from_name string")
+    texts = spark.createDataFrame([*rows, *filler_rows, *extra], "tab string, row_id long, text string").selectExpr("*", "'x' as kind", "1 as m")
+    emails = spark.createDataFrame([("Zoë Marby",), ("Ann Lee",), (None,), ("Odd",), *[(f"{g} {f}",) for g, f in zip(MORE_GIVEN, MORE_FAMILY, strict=True)]] * 3, "from_name string")
     known = spark.createDataFrame([*[(n, "given") for n in GIVEN], *[(n, "family") for n in FAMILY], (None, "given")], "name string, name_part string")
-    return texts, p.find_mentions(texts.select("tab", "row_id", "text"), emails, known)
+    return texts, p.find_mentions(texts.select("tab", "row_id", "text"), emails, known), p.replace(texts, emails, known)
 
 
 def test_cases(mentions):
-    _, found = mentions
+    _, found, _ = mentions
     got = {}
     for r in found.filter("tab = 't'").collect():
         got.setdefault(r.row_id, []).append((r.start_pos, r.end_pos, r.kind))
@@ -41,10 +62,20 @@ def test_cases(mentions):
 
 
 def test_replaced(mentions):
-    texts, found = mentions
-    out = {r.row_id: r.text for r in p.replace(texts, found).filter("tab = 't'").collect()}
-    assert out[0] == "Mail [EMAIL] or [EMAIL] now" and out[3] == CASES[3][0] and out[500] is None and out[501] == ""
+    texts, found, replaced = mentions
+    out = {r.row_id: r.text for r in replaced.filter("tab = 't'").collect()}
+    assert out[0] == "Mail [EMAIL] or [EMAIL] now" and out[3] == CASES[3][0] and out[500] is None and out[501] == "" and out[502] == "  "
     assert out[9] == "> My name is [NAME] and [ADDRESS]."
+    # the text is what the mentions leave of it
+    spans = {}
+    for r in found.collect():
+        spans.setdefault((r.tab, r.row_id), []).append((r.start_pos, r.end_pos, p.KINDS.index(r.kind)))
+    new = {(r.tab, r.row_id): r.text for r in replaced.collect()}
+    assert len(new) == texts.count()
+    for r in texts.collect():
+        assert new[r.tab, r.row_id] == (None if r.text is None else p.replaced(r.text, sorted(spans.get((r.tab, r.row_id), []))))
+    plan = replaced._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_estimation_separates():
@@ -60,7 +91,7 @@ def test_empty(spark):
 def test_long_text_is_linear():
     import time
 
-    lab = p.Labelers(GIVEN, FAMILY)
+    lab = p.Labelers(p.Gazetteer.of(GIVEN, FAMILY))
     t = time.time()
     spans = lab.spans("Ask Zoë Marby at ann.lee@x.example or +1 (202) 555-0138. " * 8000)
     assert len(spans) == 24000 and time.time() - t < 20
@@ -80,5 +111,18 @@ def test_long_text_is_linear():
 )
 def test_no_prefilter_is_narrower_than_its_pattern(text, kind, mention):
     at = text.index(mention)
-    found = p.Labelers(GIVEN, FAMILY).spans(text)
-    assert (at, at + len(mention), p.KINDS.index(kind)) in [x[:3] for x in found]
+    found = p.Labelers(p.Gazetteer.of(GIVEN, FAMILY)).spans(text)
+    assert (at, at + len(mention), p.KINDS.index(kind)) in [(x.start, x.end, x.kind) for x in found]
+
+
+def test_tokens_of_any_length():
+    lab, local = p.Labelers(p.Gazetteer.of(GIVEN, FAMILY)), "a" * 300
+    text = f"mail {local}@x.example and {'z' * 90} Mark-up, Zoë's, ANN LEE"
+    assert [(text[x.start : x.end], p.KINDS[x.kind]) for x in lab.spans(text)] == [(f"{local}@x.example", "email"), ("Mark", "name"), ("Zoë", "name"), ("ANN LEE", "name")]
+    assert p.left_word("x " + "y" * 80 + " 1", 83) == "y" * 80 and p.left_word("end. A", 5) == "" and p.right_word("A " + "y" * 80, 1) == "y" * 80
+
+
+def test_words_that_stand_beside_the_same_few_speak_against(spark):
+    rows = [("t", i, 4, 0, 1, 0, 1, 0, i % 60, 5, 0) for i in range(120)] + [("t", i, 4, 0, 1, 0, 1, 0, 7, 6, 0) for i in range(20)] + [("t", i, 4, 0, 1, 0, 1, 0, 7, 8, 0) for i in range(3)]
+    j = p.beside(spark.createDataFrame(rows, "tab string, row_id long, kind int, start long, end long, pattern int, known int, against int, what int, left int, right int"))
+    assert (j.left[5], j.left[6], j.left[8]) == (1, -1, 0) and not j.right.any()
