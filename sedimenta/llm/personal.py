@@ -24,19 +24,17 @@ stands; repeated rows are judged one by one.
 from __future__ import annotations
 
 import re
-import uuid
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.session import cut, open_folder, put, shared_folder
+from sedimenta.llm.tables import WordTable, table_of, write_words
+from sedimenta.session import cut
 
 KINDS = ["address", "email", "identity", "phone", "name"]
 #: Rows of spans at most that the classifier is trained on, drawn by hash.
@@ -128,40 +126,13 @@ def slot(*parts: object) -> int:
     return v
 
 
-def name_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-
-
-class Gazetteer:
-    """What words are, by a sorted table of their hashes."""
-
-    def __init__(self, hashes: np.ndarray, flags: np.ndarray) -> None:
-        self.hashes, self.flags = hashes, flags
-        self.known: dict[str, int] = {}
-
-    @classmethod
-    def of(cls, given: set[str], family: set[str]) -> Gazetteer:
-        flags: dict[int, int] = {}
-        for word, flag in [*((w, GIVEN) for w in given - family), *((w, FAMILY) for w in family - given), *((w, GIVEN) for w in family & given)]:
-            for form, f in ((word, flag), (word.upper(), flag), (word.lower(), LOWERED)):
-                flags[name_hash(form)] = flags.get(name_hash(form), 0) | f
-        order = sorted(flags)
-        return cls(np.array(order, np.uint64), np.array([flags[h] for h in order], np.uint8))
-
-    @classmethod
-    def mapped(cls, path: str) -> Gazetteer:
-        table = np.memmap(path, np.dtype([("hash", "<u8"), ("flags", "u1")]), "r") if np.fromfile(path, np.uint8, 1).size else np.zeros(0, np.dtype([("hash", "<u8"), ("flags", "u1")]))
-        return cls(table["hash"], table["flags"])
-
-    def __getitem__(self, word: str) -> int:
-        f = self.known.get(word)
-        if f is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            h = np.uint64(name_hash(word))
-            at = int(np.searchsorted(self.hashes, h))
-            f = self.known[word] = int(self.flags[at]) if at < len(self.hashes) and self.hashes[at] == h else 0
-        return f
+def gazetteer_of(given: set[str], family: set[str]) -> WordTable:
+    flags: dict[str, int] = {}
+    for word in given | family:
+        own = FAMILY if word not in given else GIVEN
+        for form, f in ((word, own), (word.upper(), own), (word.lower(), LOWERED)):
+            flags[form] = flags.get(form, 0) | f
+    return WordTable.of(flags)
 
 
 #: A word that begins with a capital, up to where letters that need no blanks begin, and its parts.
@@ -216,7 +187,7 @@ class Span:
 class Labelers:
     """Proposes spans of a text with votes of the labelers."""
 
-    def __init__(self, names: Gazetteer) -> None:
+    def __init__(self, names: WordTable) -> None:
         self.names = names
 
     def named(self, local: str) -> bool:
@@ -402,8 +373,7 @@ def train(slots: np.ndarray, labels: np.ndarray, epochs: int = 12, rate: float =
 
 def gazetteer(emails: DataFrame, known: DataFrame) -> str:
     """Name of the gazetteer's file, given to all workers: the known names and the words of
-    senders' names that occur several times. One task writes it, name by name."""
-    spark = emails.sparkSession
+    senders' names that occur several times."""
     words = F.split(F.trim("from_name"), r"\s+")
     plain = r"^\p{Lu}[\p{L}'’-]+$"
     parts = emails.select(words.alias("w")).filter(F.size("w") == 2).select(F.posexplode("w").alias("p", "w")).filter(F.col("w").rlike(plain))
@@ -411,23 +381,7 @@ def gazetteer(emails: DataFrame, known: DataFrame) -> str:
     listed = known.filter("name is not null and name_part in ('given', 'family')").select(F.col("name").alias("w"), F.when(F.col("name_part") == "given", GIVEN).otherwise(FAMILY).alias("f"))
     names = senders.unionByName(listed).groupBy("w").agg(F.when(F.bit_or("f").bitwiseAND(GIVEN) > 0, GIVEN).otherwise(FAMILY).alias("f"))
     forms = names.select(F.explode(F.array(F.struct("w", "f"), F.struct(F.upper("w").alias("w"), F.col("f")), F.struct(F.lower("w").alias("w"), F.lit(LOWERED).alias("f")))).alias("x")).select("x.*")
-    name = f"{uuid.uuid4().hex}.names"
-    folder = shared_folder(spark).rstrip("/")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [(name_hash(w), f) for batch in batches for w, f in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        merged: dict[int, int] = {}
-        for h, f in table:
-            merged[h] = merged.get(h, 0) | f
-        files, root = open_folder(folder)
-        with files.open_output_stream(f"{root}/{name}") as out:
-            out.write(np.array(sorted(merged.items()), np.dtype([("hash", "<u8"), ("flags", "u1")])).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([len(merged)], pa.int64())], ["n"])
-
-    put(spark, name, b"")  # what stands there if there is no name
-    forms.repartition(1).mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
-    spark.sparkContext.addFile(f"{folder}/{name}")
-    return name
+    return write_words(forms)
 
 
 _labelers: dict[str, Labelers] = {}
@@ -436,7 +390,7 @@ _labelers: dict[str, Labelers] = {}
 def labelers_of(name: str) -> Labelers:
     if name not in _labelers:
         _labelers.clear()
-        _labelers[name] = Labelers(Gazetteer.mapped(SparkFiles.get(name)))
+        _labelers[name] = Labelers(table_of(name))
     return _labelers[name]
 
 

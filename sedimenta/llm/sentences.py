@@ -2,15 +2,17 @@
 
 What ends a sentence is learned from the corpus, unsupervised and per language: words that
 stand before a period far more often than a log-likelihood ratio lets chance do
-(abbreviations), what follows them (collocations with numbers, with lower case, with words
-that don't begin sentences), and words that begin sentences more often than chance (sentence
+(abbreviations, with how often lower case, numbers and other words follow), words that follow
+an abbreviation, an initial or a number with its period more often than chance and don't begin
+sentences (collocations), and words that begin sentences more often than chance (sentence
 starters, counted where beginnings are certain). Each period is then classified by these
 statistics. Layout is read first: blank lines, headings, list items, lines of indented code
 and speaker labels bound sentences whatever their punctuation. The language is told by script
 and function words, not by a column that may be wrong.
 
-Statistics are counts summed over the corpus; only words beyond fixed shares of all tokens
-are kept, so the tables that tasks get are bounded, and thresholds are ratios.
+Statistics are counts summed over the corpus, and ratios are taken where the counts are; no
+word leaves them as the corpus grows. What was learned is a sorted file of hashes, mapped into
+memory by the workers.
 
 Defined results: null, empty and blank texts have no sentences; a text without any end of a
 sentence is one; positions count code points of the stored text.
@@ -18,20 +20,25 @@ sentence is one; positions count code points of the stored text.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Log-likelihood ratios beyond chance: of abbreviations and of sentence starters.
-ABBREVIATION_RATIO, STARTER_RATIO = 0.3, 7.88
-#: A word enters the statistics of a language with this share of its periods (or beginnings).
-LEAST_SHARE = 1e-5
+from sedimenta.llm.tables import WordTable, table_of, write_words
+from sedimenta.session import cut
+
+#: Log-likelihood ratios beyond chance: of abbreviations, of sentence starters and of collocations.
+ABBREVIATION_RATIO, STARTER_RATIO, COLLOCATION_RATIO = 0.3, 7.88, 7.88
+#: Times a word, or a pair, must occur to be judged.
+LEAST = 2
+#: What a word is: an abbreviation that doesn't end sentences, any abbreviation, a sentence starter;
+#: or, of two words, a collocation.
+INNER, ABBREVIATION, STARTER, COLLOCATION = 1, 2, 4, 8
 #: Share of followers, none of which begins a sentence, that make an abbreviation one that
 #: doesn't end sentences.
 INNER_SHARE = 0.5
@@ -50,7 +57,8 @@ FUNCTION_WORDS = {
     "sv": set("och att det som en på är av för med den till inte".split()),
     "pl": set("i w na z się nie do to jest że jak od po".split()),
 }
-_FUNCTION = {w: k for k in ("en", "de", "fr", "es") for w in FUNCTION_WORDS[k]}
+#: Languages of each function word; a letter alone tells nothing.
+_FUNCTION = {w: [k for k, words in FUNCTION_WORDS.items() if w in words] for w in set().union(*FUNCTION_WORDS.values()) if len(w) > 1}
 
 _LINE = re.compile(r"\r\n|\r|\n|\x0b|\x0c|\x85| | ")
 _BULLET = re.compile(r"[ \t]{0,3}(?:[-*•‣◦·–—+]|\(?(\d{1,3})[.)]|\(?[a-zA-Z][)])[ \t]+(?=\S)")
@@ -66,8 +74,8 @@ _ASKING = set("!?;;")
 _CLOSERS = "\"'”’»」』）)]}›〉》】〕"
 _OPENERS = "\"'“„‚‘«‹「『（([{¿¡〈《【〔"
 _STRIPPED = _OPENERS + _CLOSERS + ",;:—–"
-_LEFT_TOKEN = re.compile(r"\S+$")
-_NEXT_TOKEN = re.compile(r"[^\s]+")
+_NEXT_TOKEN = re.compile(r"\s*(\S+)")
+_ENDS = re.compile("[!?…]")
 _IDENT = re.compile(r"[\w./-]*(?:_|\(|[a-z/]\.[A-Za-z]{1,3}\b|/)[\w./()-]*")
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 _THAI = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])|(?<=[฀-๿])[ \t]*\n\s*(?=[A-Za-z])")
@@ -80,12 +88,28 @@ _CJK_CONTINUES = "とってはがをのにもでや，、,"
 SCRIPTS = [("L", 0x41, 0x24F), ("G", 0x370, 0x3FF), ("C", 0x400, 0x52F), ("H", 0x590, 0x5FF), ("A", 0x600, 0x77F), ("D", 0x900, 0xDFF), ("T", 0xE00, 0xE7F), ("K", 0xAC00, 0xD7AF), ("J", 0x3040, 0x30FF), ("Z", 0x3400, 0x9FFF)]
 
 
+_RUNS = {name: re.compile(f"[{chr(lo)}-{chr(hi)}]+") for name, lo, hi in SCRIPTS[1:]}
+_ASCII_RUNS = re.compile("[A-Za-z]+")
+
+
+def spoken(words: list[str], default: str) -> str:
+    """The language of Latin letters by function words; a word of several languages is divided
+    among them."""
+    votes: dict[str, float] = {}
+    for w in words:
+        if w in _FUNCTION:
+            of = _FUNCTION[w]
+            for k in of:
+                votes[k] = votes.get(k, 0.0) + 1 / len(of)
+    if default in votes:
+        votes[default] += 0.5  # what the rest is written in
+    return "L" + (max(votes, key=votes.__getitem__) if votes else default)
+
+
 def language(text: str, default: str = "en") -> str:
     """The script of most letters, with the language for Latin letters; default where no
     function word tells it."""
-    if _OTHER_SCRIPT.search(text) is None:
-        script = "L"
-    else:
+    if _OTHER_SCRIPT.search(text) is not None:
         n: Counter[str] = Counter()
         for c, k in Counter(text).items():
             if c.isalpha():
@@ -95,10 +119,17 @@ def language(text: str, default: str = "en") -> str:
                         n[name] += k
                         break
         script = n.most_common(1)[0][0] if n else "L"
-    if script != "L":
-        return script
-    votes = Counter(_FUNCTION[w] for w in text.lower().split() if w in _FUNCTION)
-    return "L" + (votes.most_common(1)[0][0] if votes else default)
+        if script != "L":
+            return script
+    return spoken(text.split(), default)
+
+
+def part_language(part: str, words: list[str], whole: str) -> str:
+    """The language of a part of a text in a language."""
+    if whole[0] == "L":
+        return spoken(words, whole[1:]) if _OTHER_SCRIPT.search(part) is None else language(part, whole[1:])
+    own = sum(map(len, _RUNS[whole].findall(part)))
+    return whole if own and 2 * own >= sum(map(len, _ASCII_RUNS.findall(part))) else language(part)
 
 
 @dataclass
@@ -208,18 +239,42 @@ def quote_spans(s: str) -> list[tuple[int, int]]:
     return out
 
 
-@dataclass
 class Knowledge:
-    """What was learned of one language."""
+    """What was learned of one language: flags of words and of pairs."""
+
+    def __init__(self, table: WordTable, language: str) -> None:
+        self.table, self.prefix = table, language + "\x1f"
+        self.known: dict[str, int] = {}
+
+    def __getitem__(self, word: str) -> int:
+        f = self.known.get(word)
+        if f is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            f = self.known[word] = self.table[self.prefix + word]
+        return f
 
-    inner: set[str] = field(default_factory=set)
-    abbreviations: set[str] = field(default_factory=set)
-    starters: set[str] = field(default_factory=set)
+
+class AllKnowledge(dict):
+    def __init__(self, table: WordTable) -> None:
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, language: str) -> Knowledge:
+        k = self[language] = Knowledge(self.table, language)
+        return k
+
+
+def number_shape(token: str) -> str:
+    """One sign for all short numbers, and one for the others."""
+    return "0" if len(token) <= 2 else "0000"
 
 
 def token_before(s: str, i: int) -> str:
-    m = _LEFT_TOKEN.search(s, max(0, i - 60), i)
-    return re.split("[!?…]", m[0])[-1].lstrip(_OPENERS + "—–-").lower() if m else ""
+    a = i
+    while a > 0 and not s[a - 1].isspace():
+        a -= 1
+    return _ENDS.split(s[a:i])[-1].lstrip(_OPENERS + "—–-").lower()
 
 
 def kind_of(token: str) -> str:
@@ -283,10 +338,10 @@ def count_evidence(docs: DataFrame) -> DataFrame:
                     if u.whole:
                         continue
                     s = text[u.start : u.end]
-                    lang = language(s, whole[1:] if whole[0] == "L" else "en")
                     tokens = s.split()
                     if not tokens:
                         continue
+                    lang = part_language(s, tokens, whole)
                     first = tokens[1] if _SHORT_LABEL.match(s) and len(tokens) > 1 else tokens[0]
                     n[lang, "b", bare(first)] += 1
                     raw.setdefault(lang, Counter()).update(tokens)
@@ -295,7 +350,7 @@ def count_evidence(docs: DataFrame) -> DataFrame:
                         core = t.strip(_STRIPPED)
                         if ended(core):
                             x = core[:-1].lower()
-                            if not x or len(x) > 40 or t.endswith((",", ";", ":")):
+                            if not x or t.endswith((",", ";", ":")):
                                 continue
                             kind = kind_of(nxt)
                             n[lang, "p", x] += 1
@@ -306,7 +361,7 @@ def count_evidence(docs: DataFrame) -> DataFrame:
                             elif kind == "id":
                                 n[lang, "pi", x] += 1
                             else:
-                                n[lang, "f", f"{x} {bare(nxt)}"] += 1
+                                n[lang, "f", f"{number_shape(x) if x.isdigit() else x} {bare(nxt)}"] += 1
                         elif core[-1:] in ("!", "?") and nxt[0] not in "«\"“" and kind_of(nxt) == "up":
                             n[lang, "b", bare(nxt)] += 1
             # what depends on a token alone is done once for each
@@ -318,7 +373,7 @@ def count_evidence(docs: DataFrame) -> DataFrame:
                         n[lang, "t", w] += k
                     if not ended(core):
                         x = core.rstrip("!?…").lower()
-                        if x and len(x) <= 40:
+                        if x:
                             n[lang, "w", x] += k
             keys = list(n)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(n.values()), pa.int64())], ["lang", "what", "word", "n"])
@@ -326,95 +381,88 @@ def count_evidence(docs: DataFrame) -> DataFrame:
     return docs.select("text").filter("trim(text) <> ''").mapInArrow(count, "lang string, what string, word string, n long").groupBy("lang", "what", "word").agg(F.sum("n").alias("n"))
 
 
-def ratio(with_: float, without: float, all_with: float, total: float) -> float:
-    """Dunning's log-likelihood ratio that the share of `with_` among the occurrences of a
-    word differs from that among all; 0 where it is smaller."""
-    k, m = with_, with_ + without
-    if m <= 0 or total <= m:
-        return 0.0
-    p, q = all_with / total, k / m
-    if q <= p:
-        return 0.0
+def ratio(k: Column, without: Column, all_k: Column, total: Column) -> Column:
+    """Dunning's log-likelihood ratio that the share of k among the occurrences of a word differs
+    from that among all; 0 where it is smaller."""
+    k, m, total = k.cast("double"), (k + without).cast("double"), total.cast("double")
+    p, q, r = all_k / total, k / m, (all_k - k) / (total - m)
 
-    def part(k: float, n: float, p: float) -> float:
-        p = min(max(p, 1e-12), 1 - 1e-12)
-        return k * math.log(p) + (n - k) * math.log(1 - p)
+    def part(k: Column, n: Column, p: Column) -> Column:
+        p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+        return k * F.log(p) + (n - k) * F.log(1 - p)
 
-    r = (all_with - k) / (total - m)
-    return 2 * (part(k, m, q) + part(all_with - k, total - m, r) - part(k, m, p) - part(all_with - k, total - m, p))
+    value = 2 * (part(k, m, q) + part(all_k - k, total - m, r) - part(k, m, p) - part(all_k - k, total - m, p))
+    return F.when((m > 0) & (total > m) & (q > p), value).otherwise(0.0)
 
 
-def lower_limit(k: float, n: float) -> float:
+def lower_limit(k: Column, n: Column) -> Column:
     """Lower end of the 95 % interval of a share k of n."""
     p, z2 = k / n, 1.96**2
-    return (p + z2 / (2 * n) - math.sqrt(z2 * (p * (1 - p) / n + z2 / (4 * n * n)))) / (1 + z2 / n)
-
+    return (p + z2 / (2 * n) - F.sqrt(z2 * (p * (1 - p) / n + z2 / (4 * n * n)))) / (1 + z2 / n)
 
-def learn(docs: DataFrame) -> dict[str, Knowledge]:
-    """Knowledge of each language. What comes to the driver are words with fixed shares of
-    the periods or beginnings of their language."""
-    from sedimenta.session import cut
 
-    counted = cut(count_evidence(docs))
+def judged(counted: DataFrame) -> DataFrame:
+    """(lang, word, flags) of words and pairs that are something."""
     totals = {(r["lang"], r["what"]): r["n"] for r in counted.groupBy("lang", "what").agg(F.sum("n").alias("n")).collect()}  # languages x counts
-    bounds = F.create_map(*[F.lit(x) for lang in {k[0] for k in totals} for x in (lang, max(2.0, LEAST_SHARE * totals.get((lang, "p"), 0)))]) if totals else None
-    if bounds is None:
-        return {}
-    frequent = counted.filter((F.col("what") == "p") & (F.col("n") >= bounds[F.col("lang")])).select("lang", "word")
-    begins = counted.filter((F.col("what") == "b") & (F.col("n") >= bounds[F.col("lang")])).select("lang", "word")
-    periods = counted.filter(F.col("what").isin("p", "pl", "pd", "pi", "w")).join(frequent, ["lang", "word"], "left_semi")
-    starts = counted.filter(F.col("what").isin("b", "t")).join(begins, ["lang", "word"], "left_semi")
-    follow = counted.filter((F.col("what") == "f") & (F.col("n") >= 1)).withColumn("w", F.substring_index("word", " ", 1)).join(frequent.withColumnRenamed("word", "w"), ["lang", "w"], "left_semi").select("lang", "w", F.substring_index("word", " ", -1).alias("x"), "n")
-    by: dict[str, dict[str, dict[str, int]]] = {}
-    for r in periods.unionByName(starts).toLocalIterator():
-        by.setdefault(r["lang"], {}).setdefault(r["what"], {})[r["word"]] = r["n"]
-    out: dict[str, Knowledge] = {}
-    for lang, c in by.items():
-        k = out[lang] = Knowledge()
-        tb, tt = totals.get((lang, "b"), 0), totals.get((lang, "t"), 0)
-        for x, n in c.get("b", {}).items():
-            total = max(n, c.get("t", {}).get(x, 0))
-            if x and ratio(n, total - n, tb, max(tt, tb + 1)) > STARTER_RATIO:
-                k.starters.add(x)
-    # followers in capitals that begin sentences elsewhere; the starters of a language are bounded
-    known = [(lang, x) for lang, k in out.items() for x in k.starters]
-    spark = docs.sparkSession
-    s = spark.createDataFrame(known or [("", "")], "lang string, x string")
-    begun = {(r["lang"], r["w"]): (r["n"], r["s"]) for r in follow.join(s.withColumn("is", F.lit(1)), ["lang", "x"], "left").groupBy("lang", "w").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("is") == 1, F.col("n")).otherwise(0)).alias("s")).toLocalIterator()}
-    for lang, c in by.items():
-        k = out[lang]
-        tp, tw = totals.get((lang, "p"), 0), totals.get((lang, "w"), 0)
-        for x, n in c.get("p", {}).items():
-            without = c.get("w", {}).get(x, 0)
-            dots = x.count(".") + 1
-            length = len(x.replace(".", ""))
-            if not length or not any(ch.isalpha() for ch in x) or any(ch.isdigit() for ch in x) or _IDENT.match(x + " ") and "/" in x or "_" in x:
-                continue
-            low, num, ids = (c.get(w, {}).get(x, 0) for w in ("pl", "pd", "pi"))
-            caps, begin = begun.get((lang, x), (0, 0))
-            score = ratio(n, without, tp, tp + tw) * math.exp(-length) * dots * length**-min(20.0, without / max(1, n) * 10)
-            # only short words are abbreviations of what a name follows
-            named = caps - begin if length <= NAMED_LENGTH else 0
-            # a word that mostly stands without a period is one only before numbers
-            ordinary = without > 3 * n and num < 0.5 * n
-            if ordinary:
-                pass
-            elif lower_limit(low + num + named, n) >= INNER_SHARE or lower_limit(low + num + ids + named, n) >= 0.8:
-                k.inner.add(x)
-            if score > ABBREVIATION_RATIO or x in k.inner:
-                k.abbreviations.add(x)
-    return out
+    langs = sorted({k for k, _ in totals})
+
+    def total(*kinds: str) -> Column:
+        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, float(sum(totals.get((k, what), 0) for what in kinds)))]), F.col("lang")), F.lit(0.0))
+
+    def counts(*kinds: str) -> DataFrame:
+        of = counted.filter(F.col("what").isin(*kinds)).groupBy("lang", "word")
+        return of.agg(*[F.coalesce(F.sum(F.when(F.col("what") == k, F.col("n"))), F.lit(0)).alias(k) for k in kinds])
+
+    none = counted.select("lang", "word", F.lit(0).alias("flags")).limit(0)
+    if not langs:
+        return none
+    begins = counts("b", "t").filter((F.col("b") >= LEAST) & (F.col("word") != ""))
+    seen = F.greatest("b", "t")
+    starters = begins.filter(ratio(F.col("b"), seen - F.col("b"), total("b"), F.greatest(total("t"), total("b") + 1)) > STARTER_RATIO).select("lang", "word")
+    pairs = counted.filter("what = 'f'").select("lang", F.substring_index("word", " ", 1).alias("x"), F.substring_index("word", " ", -1).alias("next"), "n")
+    pairs = pairs.join(starters.select("lang", F.col("word").alias("next"), F.lit(1).alias("starts")), ["lang", "next"], "left")
+    follow = pairs.groupBy("lang", F.col("x").alias("word")).agg(F.sum("n").alias("caps"), F.sum(F.when(F.col("starts") == 1, F.col("n")).otherwise(0)).alias("begin"))
+    words = counts("p", "pl", "pd", "pi", "w").filter(F.col("p") >= LEAST).join(follow, ["lang", "word"], "left").fillna(0, ["caps", "begin"])
+    p, w = F.col("p"), F.col("w")
+    bare_length = F.length(F.replace("word", F.lit("."), F.lit(""))).cast("double")
+    plain = (bare_length > 0) & F.col("word").rlike(r"(?U)\p{L}") & ~F.col("word").rlike(r"(?U)[\d_]") & ~F.col("word").contains("/")
+    score = ratio(p, w, total("p"), total("p", "w")) * F.exp(-bare_length) * (F.length("word") - bare_length + 1) * F.pow(bare_length, -F.least(F.lit(20.0), 10.0 * w / F.greatest(p, F.lit(1))))
+    # only short words are abbreviations of what a name follows
+    named = F.when(bare_length <= NAMED_LENGTH, F.col("caps") - F.col("begin")).otherwise(0)
+    # a word that mostly stands without a period is one only before numbers
+    ordinary = (w > 3 * p) & (F.col("pd") < 0.5 * p)
+    never = F.col("pl") + F.col("pd") + named
+    inner = ~ordinary & ((lower_limit(never, p) >= INNER_SHARE) | (lower_limit(never + F.col("pi"), p) >= 0.8))
+    flags = F.when(inner, INNER + ABBREVIATION).when(score > ABBREVIATION_RATIO, ABBREVIATION)
+    short = words.filter(plain).select("lang", "word", flags.alias("flags")).filter("flags is not null")
+    # what may stand before the period of a collocation: an abbreviation, a letter, a number
+    heads = short.select("lang", F.col("word").alias("x")).unionByName(counted.filter("what = 'f'").select("lang", F.substring_index("word", " ", 1).alias("x")).filter(F.col("x").rlike(r"(?U)^(?:\p{L}|0|0000)$"))).distinct()
+    beside = pairs.filter((F.col("n") >= LEAST) & F.col("starts").isNull() & (F.col("next") != "")).join(heads, ["lang", "x"], "left_semi")
+    often = follow.select("lang", F.col("word").alias("x"), F.col("caps").alias("all_x"))
+    seen_next = begins_all(counted).select("lang", F.col("word").alias("next"), F.col("t").alias("all_next"))
+    both = beside.join(often, ["lang", "x"]).join(seen_next, ["lang", "next"])
+    collocations = both.filter(ratio(F.col("n"), F.col("all_x") - F.col("n"), F.greatest("all_next", "n"), total("t")) > COLLOCATION_RATIO)
+    out = short.unionByName(starters.withColumn("flags", F.lit(STARTER))).unionByName(collocations.select("lang", F.concat_ws(" ", "x", "next").alias("word"), F.lit(COLLOCATION).alias("flags")))
+    return out.select("lang", "word", F.col("flags").cast("int").alias("flags"))
+
+
+def begins_all(counted: DataFrame) -> DataFrame:
+    return counted.filter("what = 't'").select("lang", "word", F.col("n").alias("t"))
+
+
+def learn(docs: DataFrame) -> str:
+    """Name of the file of what was learned, given to all workers."""
+    known = judged(cut(count_evidence(docs)))
+    return write_words(known.select(F.concat_ws("\x1f", "lang", "word").alias("word"), "flags"))
 
 
 def ends_sentence(s: str, i: int, j: int, stop: str, k: Knowledge, quotes: list[tuple[int, int]]) -> bool:
     """Whether the stop at i, with closers up to j, ends a sentence of paragraph s. quotes:
     quotations and brackets that are open at i."""
-    rest = s[j : j + 60]
-    gap = len(rest) - len(rest.lstrip())
-    m = _NEXT_TOKEN.search(rest)
+    m = _NEXT_TOKEN.match(s, j)
     if m is None:
         return True
-    nxt = m[0]
+    nxt, gap = m[1], m.start(1) - j
     kind = kind_of(nxt)
     word = bare(nxt)
     full = not _FULL.isdisjoint(stop)
@@ -431,49 +479,51 @@ def ends_sentence(s: str, i: int, j: int, stop: str, k: Knowledge, quotes: list[
             opened_fresh = not before or before[-1] in ":：" or before[-1] in _FULL or before[-1] in "…!?" or before[-1] in _CLOSERS
             if s[a] not in "(（" and not opened_fresh:
                 return False
-            if rest.lstrip()[:1] in _CJK_CONTINUES and rest.lstrip()[:2] not in ("この", "その", "これ", "もう", "では", "でも"):
+            if nxt[:1] in _CJK_CONTINUES and nxt[:2] not in ("この", "その", "これ", "もう", "では", "でも"):
                 return s[a] in "(（"
         return True
     if not gap:
         # a blank is missing between sentences, or the stop is inside a token
-        if stop != "." or i == 0 or j != i + 1 or not (s[i - 1].islower() and kind == "up" and len(word) > 1 and word in k.starters):
-            return stop in ("!", "?") and kind == "up" and word in k.starters
+        if stop != "." or i == 0 or j != i + 1 or not (s[i - 1].islower() and kind == "up" and len(word) > 1 and k[word] & STARTER):
+            return stop in ("!", "?") and kind == "up" and k[word] & STARTER > 0
         left = token_before(s, i)
-        return left.isalpha() and len(left) > 1 and left not in k.inner
+        return left.isalpha() and len(left) > 1 and not k[left] & INNER
     if stop.startswith(("..", "…")):
-        return not (kind == "low" and word not in k.starters)
+        return not (kind == "low" and not k[word] & STARTER)
     if any(c in "!?;;" for c in stop):
         if kind == "low":
-            return word in k.starters and not closed
+            return k[word] & STARTER and not closed
         if closed and kind == "num":
             return True
         return True
     # a period
     left = token_before(s, i)
-    if "." in left and left not in k.inner and left.rpartition(".")[2] in k.inner:
+    if "." in left and not k[left] & INNER and k[left.rpartition(".")[2]] & INNER:
         left = left.rpartition(".")[2]
-    if closed and kind == "low" and word not in k.starters:
+    if closed and kind == "low" and not k[word] & STARTER:
         return False
     if not left:
         return kind != "low"
-    if len(left) == 1 and left.isalpha() and s[i - 1].isupper() and kind == "up" and left not in k.starters:
+    if len(left) == 1 and left.isalpha() and s[i - 1].isupper() and kind == "up" and not k[left] & STARTER:
+        return False
+    if kind == "up" and k[f"{number_shape(left) if left.isdigit() else left} {word}"] & COLLOCATION:
         return False
     if left.isdigit():
         if kind == "low":
-            return word in k.starters
-        return kind in ("id", "num") or word in k.starters or kind == "other" or len(left) > 2
-    if left in k.inner:
-        return kind == "up" and word in k.starters and (len(left) > 1 or "." in left) and not nxt[0].isdigit()
-    if left in k.abbreviations:
+            return k[word] & STARTER
+        return kind in ("id", "num") or k[word] & STARTER or kind == "other" or len(left) > 2
+    if k[left] & INNER:
+        return kind == "up" and k[word] & STARTER and (len(left) > 1 or "." in left) and not nxt[0].isdigit()
+    if k[left] & ABBREVIATION:
         if kind == "low":
-            return word in k.starters
+            return k[word] & STARTER
         return True
     if "." in left and left.replace(".", "").isalpha() and kind == "low":
         return False
     return True
 
 
-def starts(text: str, known: dict[str, Knowledge]) -> list[int]:
+def starts(text: str, known: AllKnowledge) -> list[int]:
     """Positions of the first characters of all sentences."""
     whole = language(text)
     out: list[int] = []
@@ -490,7 +540,7 @@ def starts(text: str, known: dict[str, Knowledge]) -> list[int]:
             continue
         s = _LINE.sub(lambda m: "\n" * len(m[0]), text[u.start : u.end])
         flat = s.replace("\n", " ")
-        k = known.get(language(flat, whole[1:] if whole[0] == "L" else "en")) or Knowledge()
+        k = known[part_language(flat, flat.split(), whole)]
         quotes = quote_spans(flat) if any(c in flat for c in "\"“„«「『‹《(（") else []
         cuts = set()
         quotes.sort()
@@ -510,13 +560,19 @@ def starts(text: str, known: dict[str, Knowledge]) -> list[int]:
     return sorted(set(out))
 
 
+_known: dict[str, AllKnowledge] = {}
+
+
 def find_sentences(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, start_pos) of every sentence, with its text if asked."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
+    learned = learn(docs)
     names = ["doc_id", "start_pos", *(["sentence"] if with_text else [])]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = _known.get(learned)
+        if known is None:
+            _known.clear()
+            known = _known[learned] = AllKnowledge(table_of(learned))
         for batch in batches:
             ids, at, said = [], [], []
             for row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):

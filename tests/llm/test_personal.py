@@ -91,7 +91,7 @@ def test_empty(spark):
 def test_long_text_is_linear():
     import time
 
-    lab = p.Labelers(p.Gazetteer.of(GIVEN, FAMILY))
+    lab = p.Labelers(p.gazetteer_of(GIVEN, FAMILY))
     t = time.time()
     spans = lab.spans("Ask Zoë Marby at ann.lee@x.example or +1 (202) 555-0138. " * 8000)
     assert len(spans) == 24000 and time.time() - t < 20
@@ -111,12 +111,12 @@ def test_long_text_is_linear():
 )
 def test_no_prefilter_is_narrower_than_its_pattern(text, kind, mention):
     at = text.index(mention)
-    found = p.Labelers(p.Gazetteer.of(GIVEN, FAMILY)).spans(text)
+    found = p.Labelers(p.gazetteer_of(GIVEN, FAMILY)).spans(text)
     assert (at, at + len(mention), p.KINDS.index(kind)) in [(x.start, x.end, x.kind) for x in found]
 
 
 def test_tokens_of_any_length():
-    lab, local = p.Labelers(p.Gazetteer.of(GIVEN, FAMILY)), "a" * 300
+    lab, local = p.Labelers(p.gazetteer_of(GIVEN, FAMILY)), "a" * 300
     text = f"mail {local}@x.example and {'z' * 90} Mark-up, Zoë's, ANN LEE"
     assert [(text[x.start : x.end], p.KINDS[x.kind]) for x in lab.spans(text)] == [(f"{local}@x.example", "email"), ("Mark", "name"), ("Zoë", "name"), ("ANN LEE", "name")]
     assert p.left_word("x " + "y" * 80 + " 1", 83) == "y" * 80 and p.left_word("end. A", 5) == "" and p.right_word("A " + "y" * 80, 1) == "y" * 80

@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from sedimenta.llm import sentences as s
+from sedimenta.llm.tables import WordTable
 
 LEARN = [
     "We saw approx. 73 ms per call, i.e. twice the old figure. The U.S. mirror lags by 42 min. on average. See Fig. 17 and Sec. 8 for details. The review by J. R. Lee covers a file. It covers locks, caches, timers, etc. Honestly, it works. The board came from Kestrel Inc. The lock is fine.",
@@ -49,13 +51,44 @@ def test_empty(spark):
     assert s.find_sentences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_ratio_is_symmetric_in_scale():
-    assert s.ratio(10, 0, 50, 1000) > s.ratio(5, 5, 50, 1000) > 0 and s.ratio(0, 10, 50, 1000) == 0
+def test_ratio(spark):
+    rows = [(10, 0, 50, 1000), (5, 5, 50, 1000), (0, 10, 50, 1000), (3, 3, 50, 6)]
+    df = spark.createDataFrame(rows, "k long, without long, a long, n long")
+    a, b, c, d = (r.v for r in df.select(s.ratio(F.col("k"), F.col("without"), F.col("a"), F.col("n")).alias("v")).collect())
+    assert a > b > 0 == c == d
 
 
 def test_very_long_paragraph():
     import time
 
     t = time.time()
-    n = s.starts('He said "no" and left. ' * 40_000, {})
+    n = s.starts('He said "no" and left. ' * 40_000, s.AllKnowledge(WordTable.of({})))
     assert len(n) == 40_000 and time.time() - t < 30
+
+
+def test_collocations(spark):
+    rows = [("Len", "p", "0", 40), ("Len", "t", "March", 30), ("Len", "t", "Board", 500), ("Len", "t", "The", 900), ("Len", "t", "word", 20_000), ("Len", "b", "The", 600), ("Len", "b", "x", 400)]
+    rows += [("Len", "f", "0 March", 25), ("Len", "f", "0 The", 12), ("Len", "f", "0 Board", 1), ("Len", "f", "end The", 500), ("Len", "f", "end March", 4)]
+    got = {(r.word, r.flags) for r in s.judged(spark.createDataFrame(rows, "lang string, what string, word string, n long")).collect()}
+    # a starter is no collocation, nor is what follows an ordinary word
+    assert ("0 March", s.COLLOCATION) in got and ("The", s.STARTER) in got and not {w for w, _ in got} & {"0 The", "0 Board", "end March", "end The"}
+
+
+def test_languages():
+    assert s.language("Il lucchetto non è della coda, più di una volta") == "Lit" and s.language("De rij is niet van het slot en dat is te zien") == "Lnl"
+    assert s.language("Die Sperre ist nicht für die Schlange") == "Lde" and s.language("xyzzy", "fr") == "Lfr" and s.language("") == "Len"
+    assert s.part_language("ロックは動く wake_node()", [], "J") == "J" and s.part_language("The lock of the queue", "The lock of the queue".split(), "J") == "Len"
+
+
+def test_tokens_and_gaps_of_any_length():
+    known = s.AllKnowledge(WordTable.of({"Len\x1f" + "x" * 90: s.INNER}))
+    assert s.starts("The " + "x" * 90 + ". said so." + " " * 100 + "Then it ended.", known) == [0, 204]
+
+
+def test_word_tables(spark):
+    from sedimenta.llm import tables
+
+    words = spark.createDataFrame([("a", 1), ("b", 2), ("a", 4)], "word string, flags int")
+    out = words.select("word").mapInPandas(lambda it, name=tables.write_words(words): (b.assign(f=[tables.table_of(name)[w] for w in b["word"]]) for b in it), "word string, f int")
+    assert {(r.word, r.f) for r in out.collect()} == {("a", 5), ("b", 2)}
+    assert tables.WordTable.of({})["a"] == 0
