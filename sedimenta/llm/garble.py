@@ -34,8 +34,6 @@ RARE = 2e-5
 #: Natural logarithm of the likelihood ratio from which a mapping holds, and times so many a
 #: second time.
 GAIN = 3.0
-#: Longest chain of mappings.
-DEPTH = 3
 
 #: Codecs that mail programs confuse. Fixed values.
 SINGLE = ["cp1252", "latin-1", "cp1250", "cp1251", "koi8-r", "cp437", "cp850", "cp866", "mac_roman"]
@@ -221,7 +219,7 @@ class Model:
                         options[out] = self.rough(out), meant == "utf-8", _without(text, wrong, got[1], got[2])
         if text.startswith(("þÿ", "ÿþ")) and left == BOUND:
             options[text[2:]] = self.rough(text[2:]), False, (text, text)
-        return [(out, *options[out][1:]) for out in sorted(options, key=lambda x: options[x][0], reverse=True)[: 40 if len(text) <= 4 else 6]]
+        return [(out, *options[out][1:]) for out in sorted(options, key=lambda x: options[x][0], reverse=True)]
 
     def beside(self, text: str, left: str, right: str) -> float:
         """Likelihood of text between its neighbours. A lost character tells nothing."""
@@ -236,7 +234,8 @@ class Model:
             return self.seen[key]
         best, now = (0.0, text), [(text, (text, text))]
         was: dict[tuple[str, str], float] = {}
-        for _ in range(DEPTH):
+        tried: set[str] = set()
+        while now:  # what was UTF-8 grows shorter each time
             again = []
             for one, stood in now:
                 for out, utf8, kept in self.mappings(one, left, right):
@@ -249,10 +248,9 @@ class Model:
                     gain = self.beside(out, left, right) - was[of]
                     if gain > best[0] and fits(out, left, right, before or left, behind or right):
                         best = gain, out
-                    if utf8:
+                    if utf8 and len(out) < len(one) and out not in tried:
+                        tried.add(out)
                         again.append((out, of))
-            if not again:
-                break
             now = again
         if len(self.seen) > 50000:
             self.seen.clear()
