@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions.text import location
+from sedimenta.operators.passages import global_numbers
+from sedimenta.session import cut
 
 #: Lines between findings that still mean the same place, and title words in common.
 NEAR_LINES, COMMON_WORDS = 10, 2
 # Words that titles share without meaning the same.
-TITLE_STOP = "the a an in on of to for and or is not with by from".split()
+TITLE_STOP = "the a an is are and or but in on at to for of with".split()
 LEVELS = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
 
 
@@ -59,44 +61,83 @@ def title_words(c: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"(\w+)"), F.lit(1)), lambda x: ~x.isin(TITLE_STOP)))
 
 
+def linked(findings: DataFrame, near: int, words: int | None) -> DataFrame:
+    """findings with place_no, the smallest id of those that chains of near lines or of common
+    title words join. Links go over what findings share (a place, a pair of words), never over
+    pairs of findings; labels spread until none changes."""
+    f = by_place(findings.filter("coalesce(line, 0) <> 0"), near).select("finding_id", F.xxhash64("file", F.lit("place"), "place_no").alias("key"))
+    if words is not None:
+        w = F.array_sort(title_words(F.coalesce("title", F.lit(""))))
+        pairs = F.flatten(F.transform(w, lambda x, i: F.transform(F.slice(w, i + 2, F.size(w)), lambda y: F.concat_ws(" ", x, y)))) if words == 2 else w
+        f = f.unionByName(findings.select("finding_id", F.explode(F.transform(pairs, lambda x: F.xxhash64("file", F.lit("word"), x))).alias("key")))
+    shared = cut(f.distinct())
+    labels = findings.select("finding_id", F.col("finding_id").alias("place_no"))
+    while True:
+        least = shared.join(labels, "finding_id").groupBy("key").agg(F.min("place_no").alias("least"))
+        spread = shared.join(least, "key").groupBy("finding_id").agg(F.min("least").alias("least"))
+        now = cut(labels.join(spread, "finding_id", "left").select("finding_id", "place_no", F.least("place_no", "least").alias("now")))
+        changed = not now.filter("now <> place_no").isEmpty()
+        labels = now.select("finding_id", F.col("now").alias("place_no"))
+        if not changed:
+            return findings.join(labels, "finding_id")
+
+
+class Pool:
+    """Unused findings of a model, by line and by title word."""
+
+    def __init__(self, rows: list[dict], near: int) -> None:
+        self.near, self.rows, self.used = near, rows, set()
+        self.by_line: dict[int, list[int]] = {}
+        self.by_word: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            if r["line"]:
+                self.by_line.setdefault(r["line"] // (near + 1), []).append(i)
+            for w in r["words"]:
+                self.by_word.setdefault(w, []).append(i)
+
+    def first(self, line: int, words: set[str], common: int | None) -> dict | None:
+        """The first unused finding near a line, or with enough words in common."""
+        at = line // (self.near + 1)
+        hits = [i for b in (at - 1, at, at + 1) for i in self.by_line.get(b, ()) if abs(self.rows[i]["line"] - line) <= self.near]
+        if common is not None:
+            # one that shares enough words is held by all lists but the longest
+            lists = sorted((self.by_word[w] for w in words if w in self.by_word), key=len)
+            for of in lists[: max(0, len(lists) - common + 1)]:
+                hits += [i for i in of if len(words & self.rows[i]["words"]) >= common]
+        free = [i for i in hits if i not in self.used]
+        if not free:
+            return None
+        self.used.add(min(free))
+        return self.rows[min(free)]
+
+
 def match_groups(findings: DataFrame, anchor: str, near: int = NEAR_LINES, words: int | None = COMMON_WORDS) -> DataFrame:
-    """(file, group_no, model, finding_id): each finding of the anchor model takes, of every
-    other model, the first unused finding of its file within `near` lines or, with words, with
-    so many title words in common; what is left stands alone. The choice depends on the order
-    within a file, so files are handled one by one; without words, files are first cut where
-    no two lines are near, which bounds what one task holds."""
-    f = findings.select("finding_id", "model", "file", "line", "title")
-    f = by_place(f, near) if words is None else f.withColumn("place_no", F.lit(0).cast("bigint"))
+    """(file, group_id, model, finding_id): each finding of the anchor model that names a line
+    takes, of every other model, the first unused finding of its file within `near` lines or,
+    with words, with so many title words in common; what is left stands alone. A group has the
+    id of its first finding. The choice depends on the order of findings that are linked, so
+    these are handled together; what nothing links goes to different tasks. Line 0 and null are
+    no line, null titles have no words."""
+    f = linked(findings.select("finding_id", "model", "file", "line", "title"), near, words)
     stop = set(TITLE_STOP)
 
     def match(rows: list[dict]) -> Iterator[tuple]:
         for r in rows:
             r["words"] = set(re.findall(r"\w+", (r["title"] or "").lower())) - stop if words is not None else set()
-        used: set = set()
-        no = 0
-        others = sorted({r["model"] for r in rows} - {anchor})
-        pools = {m: [r for r in rows if r["model"] == m] for m in others}
+        pools = {m: Pool([r for r in rows if r["model"] == m], near) for m in sorted({r["model"] for r in rows} - {anchor})}
         for a in (r for r in rows if r["model"] == anchor):
-            no += 1
-            yield a["file"], a["place_no"], no, a["model"], a["finding_id"]
-            if a["line"] is None:
-                continue
-            for m in others:
-                for r in pools[m]:
-                    if r["finding_id"] in used or r["line"] is None:
-                        continue
-                    if abs(a["line"] - r["line"]) <= near or (words is not None and len(a["words"] & r["words"]) >= words):
-                        used.add(r["finding_id"])
-                        yield a["file"], a["place_no"], no, m, r["finding_id"]
-                        break
-        for m in others:
-            for r in pools[m]:
-                if r["finding_id"] not in used:
-                    no += 1
-                    yield r["file"], r["place_no"], no, m, r["finding_id"]
+            yield a["file"], a["finding_id"], a["model"], a["finding_id"]
+            if a["line"]:
+                for m, pool in pools.items():
+                    if hit := pool.first(a["line"], a["words"], words):
+                        yield a["file"], a["finding_id"], m, hit["finding_id"]
+        for m, pool in pools.items():
+            for i, r in enumerate(pool.rows):
+                if i not in pool.used:
+                    yield r["file"], r["finding_id"], m, r["finding_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Files follow one another; each is matched when the next begins."""
+        """Linked findings follow one another; they are matched when the next begin."""
         group: list[dict] = []
         for batch in batches:
             out: list[tuple] = []
@@ -109,14 +150,22 @@ def match_groups(findings: DataFrame, anchor: str, near: int = NEAR_LINES, words
         yield _matched(list(match(group)), kind)
 
     kind = f.schema["file"].dataType.simpleString()
-    order = f.repartition("file", "place_no").sortWithinPartitions("file", "place_no", "finding_id")
-    return order.mapInArrow(run, f"file {kind}, place_no long, group_no long, model string, finding_id long")
+    order = f.select("finding_id", "model", "file", "line", "title", "place_no").repartition("file", "place_no").sortWithinPartitions("file", "place_no", "finding_id")
+    return order.mapInArrow(run, f"file {kind}, group_id long, model string, finding_id long")
 
 
 def _matched(rows: list[tuple], kind: str) -> pa.RecordBatch:
-    types = [pa.string() if kind == "string" else pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "place_no", "group_no", "model", "finding_id"])
+    types = [pa.string() if kind == "string" else pa.int64(), pa.int64(), pa.string(), pa.int64()]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "group_id", "model", "finding_id"])
+
+
+def report_rows(groups: DataFrame) -> DataFrame:
+    """(no, file, group_id, found, models): groups of a report, numbered from 1 by file and
+    group over all files. groups: (file, group_id, model, finding_id, severity)."""
+    each = F.struct("finding_id", F.concat_ws(" ", "model", "severity").alias("t"))
+    g = groups.groupBy("file", "group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["t"]), ", ").alias("found"), F.count_distinct("model").alias("models"))
+    return global_numbers(g, ["file", "group_id"]).select("no", "file", "group_id", "found", "models")
 
 
 def disagreements(groups: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from sedimenta.operators.joins import dealt_join
 from sedimenta.plans.core_queries import _key_sql
 from sedimenta.plans.instant_sql import instants as instants_sql
 from sedimenta.plans.registry import Registry
-from sedimenta.session import table
+from sedimenta.session import cut, table
 
 registry = Registry()
 query = registry.query
@@ -648,7 +648,7 @@ def calibration_lines(spark, sf_dir):  # noqa: ANN001, ANN201
 
 # Findings of several reviewers
 
-_FINDINGS = f"""f as (select event_id as finding_id, event_type as model, cast(user_id as varchar) as file, cast(floor(value) as int) as line, {_case("(event_id // 4) % 4", {str(i): s for i, s in enumerate(findings.LEVELS)}).replace("when '0'", "when 0").replace("when '1'", "when 1").replace("when '2'", "when 2").replace("when '3'", "when 3")} as severity, hour(ts) < 12 as skill from events)"""
+_FINDINGS = f"""f as (select event_id as finding_id, event_type as model, cast(user_id as varchar) as file, cast(floor(value) as int) as line, {_case("(event_id // 4) % 4", {str(i): s for i, s in enumerate(findings.LEVELS)}).replace("when '0'", "when 0").replace("when '1'", "when 1").replace("when '2'", "when 2").replace("when '3'", "when 3")} as severity, hour(ts) < 12 as skill, props as title from events)"""
 _PLACES = f"""{_FINDINGS}, g as (select *, case when line - lag(line) over (partition by file order by line, finding_id) <= 10 then 0 else 1 end as gap from f),
 p as (select *, cast(sum(gap) over (partition by file order by line, finding_id rows unbounded preceding) as bigint) as place_no from g)"""
 
@@ -677,18 +677,60 @@ def findings_by_file(spark, sf_dir):  # noqa: ANN001, ANN201
     return _findings(spark, sf_dir).groupBy(F.coalesce(F.expr("nullif(file, '')"), F.lit("unspecified")).alias("file")).agg(F.count("*").alias("findings"), F.min("line").alias("first_line"))
 
 
-@query("severity_disagreements", f"with {_PLACES} select file, place_no, count(distinct model) as models, count(distinct severity) as severities from p group by 1, 2 having count(distinct model) >= 2 and count(distinct severity) > 1")
+_ANCHOR, _OTHERS = "purchase", ["view", "click", "signup", "error"]
+
+
+def _groups_sql(words: bool) -> str:
+    """Common table expressions ending in g(file, group_id, model, finding_id): one anchor after
+    the other takes what no earlier one took."""
+    row = "{'id': finding_id, 'line': nullif(line, 0), 'model': model, 'words': words}"
+    title = rf"list_filter(list_distinct(regexp_extract_all(lower(coalesce(title, '')), '[\w]+')), lambda w: w not in ({', '.join(chr(39) + w + chr(39) for w in findings.TITLE_STOP)}))"
+    fits = f"abs(x.line - a[i + 1].line) <= {findings.NEAR_LINES}" + (f" or len(list_intersect(x.words, a[i + 1].words)) >= {findings.COMMON_WORDS}" if words else "")
+    picks = ", ".join(f"list_filter(o, lambda x: x.model = '{m}' and a[i + 1].line is not null and not list_contains(used, x.id) and coalesce({fits}, false))[1].id" for m in _OTHERS)
+    return f"""{_FINDINGS}, t as (select *, {title if words else "[]::varchar[]"} as words from f),
+fl as (select file, coalesce(list({row} order by finding_id) filter (model = '{_ANCHOR}'), []) as a, coalesce(list({row} order by finding_id) filter (model <> '{_ANCHOR}'), []) as o from t group by file),
+r as (select file, a, o, 0 as i, []::bigint[] as used, []::struct(g bigint, id bigint)[] as got from fl
+  union all select file, a, o, i + 1, list_concat(used, picks), list_concat(got, list_transform(picks, lambda x: {{'g': a[i + 1].id, 'id': x}})) from (select *, list_filter([{picks}], lambda x: x is not null) as picks from r where i < len(a))),
+taken as (select file, unnest(got, recursive := true) from r where i = len(a)),
+g as (select t.file, coalesce(taken.g, t.finding_id) as group_id, t.model, t.finding_id, t.severity from t left join taken on taken.file = t.file and taken.id = t.finding_id)"""
+
+
+def _groups(spark: SparkSession, sf_dir: str, words: bool = True) -> DataFrame:
+    f = _findings(spark, sf_dir)
+    g = findings.match_groups(f, _ANCHOR, words=findings.COMMON_WORDS if words else None)
+    return g.join(f.select("finding_id", "severity"), "finding_id")
+
+
+@query("match_findings", f"with recursive {_groups_sql(False)} select file, group_id, model, finding_id from g")
+def match_findings(spark, sf_dir):  # noqa: ANN001, ANN201
+    return findings.match_groups(_findings(spark, sf_dir), _ANCHOR, words=None)
+
+
+@query("match_findings_by_words", f"with recursive {_groups_sql(True)} select file, group_id, model, finding_id from g")
+def match_findings_by_words(spark, sf_dir):  # noqa: ANN001, ANN201
+    return findings.match_groups(_findings(spark, sf_dir), _ANCHOR)
+
+
+@query("severity_disagreements", f"with recursive {_groups_sql(True)} select file, group_id, count(distinct model) as models, count(distinct severity) as severities from g group by 1, 2 having count(distinct model) >= 2 and count(distinct severity) > 1")
 def severity_disagreements(spark, sf_dir):  # noqa: ANN001, ANN201
-    return findings.disagreements(_places(spark, sf_dir), ["file", "place_no"])
+    return findings.disagreements(_groups(spark, sf_dir), ["file", "group_id"])
 
 
-_CONSENSUS = f"""{_PLACES}, n as (select file, place_no, count(distinct model) as models from p group by 1, 2), d as (select distinct file, place_no, model from p),
-cs as (select model, count(*) filter (models >= 2) as confirmed, count(*) filter (models = 1) as unique_groups, round(100 * avg(case when models >= 2 then 1.0 else 0.0 end), 0) as consensus_rate from d join n using (file, place_no) group by 1)"""
+_CONSENSUS = f"""{_groups_sql(True)}, n as (select file, group_id, count(distinct model) as models from g group by 1, 2), d as (select distinct file, group_id, model from g),
+cs as (select model, count(*) filter (models >= 2) as confirmed, count(*) filter (models = 1) as unique_groups, round(100 * avg(case when models >= 2 then 1.0 else 0.0 end), 0) as consensus_rate from d join n using (file, group_id) group by 1)"""
 
 
-@query("consensus_counts", f"with {_CONSENSUS} select * from cs")
+@query("consensus_counts", f"with recursive {_CONSENSUS} select * from cs")
 def consensus_counts(spark, sf_dir):  # noqa: ANN001, ANN201
-    return findings.consensus(_places(spark, sf_dir), ["file", "place_no"])
+    return findings.consensus(_groups(spark, sf_dir), ["file", "group_id"])
+
+
+@query("report_rows", f"""
+with recursive {_groups_sql(True)}, x as (select file, group_id, string_agg(model || ' ' || severity, ', ' order by finding_id) as found, count(distinct model) as models from g group by 1, 2)
+select cast(row_number() over (order by file, group_id) as bigint) as no, file, group_id, found, models from x
+""")
+def report_rows(spark, sf_dir):  # noqa: ANN001, ANN201
+    return findings.report_rows(_groups(spark, sf_dir))
 
 
 _SETS = """w as (select distinct model, file, line from f where severity = 'CRITICAL' and skill and line is not null), b as (select distinct model, file, line from f where severity = 'CRITICAL' and not skill and line is not null),
@@ -706,16 +748,15 @@ def skill_vs_baseline(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 @query("verdict_score", f"""
-with {_CONSENSUS}, {_SETS}, dg as (select file, place_no from p group by 1, 2 having count(distinct model) >= 2 and count(distinct severity) > 1),
-dm as (select model, count(*) as disagreements from d join dg using (file, place_no) group by 1),
+with recursive {_CONSENSUS}, {_SETS}, dg as (select file, group_id from g group by 1, 2 having count(distinct model) >= 2 and count(distinct severity) > 1),
+dm as (select model, count(*) as disagreements from d join dg using (file, group_id) group by 1),
 j as (select cs.model, confirmed, coalesce(gained, 0) as gained, coalesce(lost, 0) as lost, coalesce(disagreements, 0) as disagreements from cs left join ss on ss.model = cs.model left join dm on dm.model = cs.model)
 select *, confirmed + gained - lost - disagreements as score, cast(rank() over (order by confirmed + gained - lost - disagreements desc) as int) as place from j
 """)
 def verdict_score(spark, sf_dir):  # noqa: ANN001, ANN201
-    p = _places(spark, sf_dir)
-    keys = ["file", "place_no"]
-    per = p.select(*keys, "model").distinct().join(findings.disagreements(p, keys), keys).groupBy("model").agg(F.count("*").alias("disagreements"))
-    return findings.verdict(findings.consensus(p, keys).select("model", "confirmed"), _sets(spark, sf_dir).select("model", "gained", "lost"), per)
+    g, keys = cut(_groups(spark, sf_dir)), ["file", "group_id"]
+    per = g.select(*keys, "model").distinct().join(findings.disagreements(g, keys), keys).groupBy("model").agg(F.count("*").alias("disagreements"))
+    return findings.verdict(findings.consensus(g, keys).select("model", "confirmed"), _sets(spark, sf_dir).select("model", "gained", "lost"), per)
 
 
 @query("top_triggers", "select trigger, count(*) as cnt from review_moves where coalesce(trigger, '') <> '' group by 1 order by 2 desc, 1 limit 3")
@@ -723,16 +764,6 @@ def top_triggers(spark, sf_dir):  # noqa: ANN001, ANN201
     return table(spark, sf_dir, "review_moves").filter("coalesce(trigger, '') <> ''").groupBy("trigger").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "trigger").limit(3)
 
 
-@query("match_findings")
-def match_findings(spark, sf_dir):  # noqa: ANN001, ANN201
-    return findings.match_groups(_findings(spark, sf_dir), "purchase", words=None)
-
-
-@query("match_findings_by_words")
-def match_findings_by_words(spark, sf_dir):  # noqa: ANN001, ANN201
-    return findings.match_groups(_findings(spark, sf_dir), "purchase")
-
-
 _LEVEL = "case severity when 'reject' then 'CRITICAL' when 'request-changes' then 'HIGH' when 'nitpick' then 'LOW' else 'MEDIUM' end"
 
 

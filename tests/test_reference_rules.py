@@ -152,9 +152,32 @@ def test_parse_reviews(spark):
 def test_matching(spark):
     rows = [(1, "g", "f", 10, "race in queue"), (2, "h", "f", 20, "other"), (3, "h", "f", 21, "x"), (4, "m", "f", 90, "queue race again"), (5, "h", "e", 5, "y"), (6, "g", "f", None, "race in queue")]
     f = spark.createDataFrame(rows, "finding_id long, model string, file string, line int, title string").withColumn("severity", F.lit("HIGH"))
-    groups = lambda words: {frozenset(x.ids) for x in findings.match_groups(f, "g", words=words).groupBy("file", "place_no", "group_no").agg(F.collect_set("finding_id").alias("ids")).collect()}
+    groups = lambda words: {frozenset(x.ids) for x in findings.match_groups(f, "g", words=words).groupBy("file", "group_id").agg(F.collect_set("finding_id").alias("ids")).collect()}
     assert groups(2) == {frozenset({1, 2, 4}), frozenset({3}), frozenset({5}), frozenset({6})}
     assert groups(None) == {frozenset({1, 2}), frozenset({3}), frozenset({4}), frozenset({5}), frozenset({6})}
+    assert findings.match_groups(f.limit(0), "g").count() == 0
+
+
+def test_matching_agrees_with_all_pairs(spark):
+    import random
+
+    rng = random.Random(7)
+    words = ["race", "queue", "lock", "leak", "buffer", "the"]
+    rows = [(i, rng.choice("ghm"), rng.choice("ef"), rng.choice([None, 0, *range(1, 400, 7)]), rng.choice([None, " ".join(rng.sample(words, rng.randint(0, 3)))])) for i in range(300)]
+    f = spark.createDataFrame(rows, "finding_id long, model string, file string, line int, title string")
+    for common in (2, None):
+        used, want = set(), set()
+        for a in (r for r in rows if r[1] == "g"):
+            want.add((a[0], a[0]))
+            for m in "hm":
+                for r in rows:
+                    wa, wr = (set((x[4] or "").split()) - {"the"} for x in (a, r))
+                    if r[1] == m and r[2] == a[2] and a[3] and r[0] not in used and (r[3] and abs(r[3] - a[3]) <= 10 or common and len(wa & wr) >= 2):
+                        used.add(r[0])
+                        want.add((a[0], r[0]))
+                        break
+        want |= {(r[0], r[0]) for r in rows if r[1] != "g" and r[0] not in used}
+        assert {(r.group_id, r.finding_id) for r in findings.match_groups(f.repartition(5), "g", words=common).collect()} == want
 
 
 def test_mappers(spark):
