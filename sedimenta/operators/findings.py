@@ -49,6 +49,22 @@ def parse_reviews(docs: DataFrame, id_: str, text: str, layout: Layout = Layout(
     return g.withColumn("file", F.coalesce(at["file"], F.lower("section"))).withColumn("line", at["line"]).drop("section")
 
 
+#: How reviewers write: which files are whose, the first match counts.
+LAYOUTS = {"baseline": Layout("#{2,4}", "#{1,2}"), "": Layout()}
+
+
+def parse_files(docs: DataFrame, name: str, text: str, layouts: dict[str, Layout] = LAYOUTS, aliases: dict[str, str] | None = None) -> DataFrame:
+    """As parse_reviews for files (name, text): the layout whose key a name holds; a file of no
+    layout, or in which its layout finds nothing, is read by each until one finds something."""
+    all_ = None
+    for i, (part, layout) in enumerate(layouts.items()):
+        first = F.when(F.lit(part != "") & F.col(name).contains(part), 0).otherwise(i + 1)
+        p = parse_reviews(docs.select(name, text), name, text, layout, aliases).withColumn("__try", first)
+        all_ = p if all_ is None else all_.unionByName(p)
+    least = all_.groupBy(name).agg(F.min("__try").alias("__least"))  # a row a file
+    return all_.join(least, name).filter(F.col("__try") == F.col("__least")).drop("__try", "__least")
+
+
 def by_place(findings: DataFrame, near: int = NEAR_LINES) -> DataFrame:
     """findings with place_id: those of a file whose lines follow one another within `near`
     lines. Linear in the findings; no pairs are made."""

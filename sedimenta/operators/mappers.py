@@ -91,8 +91,8 @@ def observed(results: DataFrame, name: str = "run") -> tuple[DataFrame, Observat
     return results.observe(o, F.count(F.lit(1)).alias("records"), F.sum(F.when(moves > 0, moves).otherwise(0)).alias("moves"), F.count_if(F.col("error").isNotNull()).alias("errors")), o
 
 
-def annotate(rows: DataFrame, key: str, text: str, mapper: Mapper, most_chars: int = 8000, workers: int = 4, retry: Retry = Retry(), tasks: int | None = None) -> DataFrame:
-    """(key, moves, error). Texts are cut to what the service reads; filters belong before
+def annotate(rows: DataFrame, key: str, text: str, mapper: Mapper, most_chars: int = 8000, workers: int = 4, retry: Retry = Retry(), tasks: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, moves, error) and the columns to keep, all strings. Texts are cut to what the service reads; filters belong before
     this step, as none is pushed through it. tasks bounds how many tasks call at a time."""
 
     def run(batches: Iterator) -> Iterator:
@@ -106,10 +106,11 @@ def annotate(rows: DataFrame, key: str, text: str, mapper: Mapper, most_chars: i
 
         with ThreadPoolExecutor(workers) as pool:
             for b in batches:
-                yield pd.DataFrame(list(pool.map(one, b["key"], b["text"])), columns=["key", "moves", "error"])
+                out = pd.DataFrame(list(pool.map(one, b["key"], b["text"])), columns=["key", "moves", "error"])
+                yield out.assign(**{c: b[c].to_numpy() for c in keep})
 
-    r = rows.select(F.col(key).cast("string").alias("key"), F.left(F.coalesce(F.col(text), F.lit("")), F.lit(most_chars)).alias("text"))
-    return (r.repartition(tasks) if tasks else r).mapInPandas(run, RESULT)
+    r = rows.select(*keep, F.col(key).cast("string").alias("key"), F.left(F.coalesce(F.col(text), F.lit("")), F.lit(most_chars)).alias("text"))
+    return (r.repartition(tasks) if tasks else r).mapInPandas(run, ", ".join([RESULT, *(f"{c} string" for c in keep)]))
 
 
 def replay(rows: DataFrame, key: str, stored: DataFrame) -> DataFrame:

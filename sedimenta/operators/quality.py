@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions.text import bound, word_count
+from sedimenta.operators.passages import global_numbers
 
 #: Quotations and code.
 QUOTED = r'"[^"]*"|“[^”]*”|`[^`]*`'
@@ -53,6 +57,64 @@ def json_violations(lines: DataFrame, severities: list[str], categories: list[st
     return top.unionByName(moves)
 
 
+def _found(bad: Column, code: str, detail: Column | str = "") -> Column:
+    return F.when(bad, F.struct(F.lit(code).alias("code"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail")))
+
+
+def pattern_violations(document: DataFrame, severities: list[str], categories: list[str], sources: tuple[str, ...] = ("email", "interview")) -> DataFrame:
+    """(place, code, detail) for a document (value) that should be one JSON array of patterns;
+    place counts elements from 0 and is null for the whole."""
+    v = document.select(F.try_parse_json("value").alias("v"))
+    kind = lambda c, path: F.schema_of_variant(F.try_variant_get(c, path, "variant"))
+    whole = F.array_compact(F.array(_found(F.col("v").isNull(), "invalid_json"), _found(F.col("v").isNotNull() & ~kind("v", "$").startswith("ARRAY"), "not_an_array")))
+    top = v.select(F.lit(None).cast("int").alias("place"), F.explode(whole).alias("x")).select("place", "x.*")
+    each = v.filter(kind("v", "$").startswith("ARRAY")).select(F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("place", "m"))
+    is_object = F.coalesce(kind("m", "$").startswith("OBJECT"), F.lit(False))
+    checks = [_found(~is_object, "not_an_object")]
+    for f in ("category", "severity", "trigger", "principle"):
+        checks.append(_found(is_object & kind("m", f"$.{f}").isNull(), "missing_field", f))
+    for f in ("trigger", "principle", "quote"):
+        k = kind("m", f"$.{f}")
+        checks.append(_found(is_object & k.isNotNull() & (k != "STRING"), "not_a_string", f))
+    for f, domain in (("category", categories), ("severity", severities), ("source", list(sources))):
+        value = F.try_variant_get("m", f"$.{f}", "string")
+        checks.append(_found(is_object & kind("m", f"$.{f}").isNotNull() & ~F.coalesce(value.isin(domain), F.lit(False)), f"unknown_{f}", F.coalesce(value, F.lit(""))))
+    return top.unionByName(each.select("place", F.explode(F.array_compact(F.array(*checks))).alias("x")).select("place", "x.*"))
+
+
+def calibration_violations(document: DataFrame, sections: tuple[str, ...] = ("severity_by_category", "temporal_trends", "corpus_stats")) -> DataFrame:
+    """(place, code, detail) for a document (value) that should be one JSON object with these
+    sections, each an object, and a whole number of moves."""
+    v = document.select(F.try_parse_json("value").alias("v"))
+    kind = lambda path: F.schema_of_variant(F.try_variant_get("v", path, "variant"))
+    is_object = F.coalesce(kind("$").startswith("OBJECT"), F.lit(False))
+    checks = [_found(F.col("v").isNull(), "invalid_json"), _found(F.col("v").isNotNull() & ~is_object, "not_an_object")]
+    for s in sections:
+        checks += [_found(is_object & kind(f"$.{s}").isNull(), "missing_section", s), _found(is_object & kind(f"$.{s}").isNotNull() & ~kind(f"$.{s}").startswith("OBJECT"), "section_not_an_object", s)]
+    stats, moves = kind("$.corpus_stats"), kind("$.corpus_stats.total_moves")
+    checks += [_found(stats.startswith("OBJECT") & moves.isNull(), "missing_field", "total_moves"), _found(moves.isNotNull() & (moves != "BIGINT"), "not_a_whole_number", "total_moves")]
+    return v.select(F.lit(None).cast("int").alias("place"), F.explode(F.array_compact(F.array(*checks))).alias("x")).select("place", "x.*")
+
+
+def folder_violations(spark: SparkSession, path: str, severities: list[str], categories: list[str]) -> DataFrame:
+    """(file, place, code, detail) of moves.jsonl, patterns.json and calibration.json in a folder,
+    read as text; a file that isn't there is an error too. A folder without any is sound."""
+    moves = lambda d: json_violations(d, severities, categories).withColumnRenamed("line_no", "place")
+    parts: dict[str, Callable[[DataFrame], DataFrame]] = {"moves.jsonl": moves, "patterns.json": lambda d: pattern_violations(d, severities, categories), "calibration.json": calibration_violations}
+    out = None
+    for name, check in parts.items():
+        try:
+            d = spark.read.text(f"{path}/{name}", wholetext=not name.endswith(".jsonl"))
+            if name.endswith(".jsonl"):
+                d = global_numbers(d.select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i")), ["f", "i"], "line_no").select("line_no", "value")
+            bad = check(d)
+        except AnalysisException:
+            bad = spark.createDataFrame([(None, "file_not_found", "")], "place int, code string, detail string")
+        bad = bad.select(F.lit(name).alias("file"), F.col("place").cast("bigint").alias("place"), "code", "detail")
+        out = bad if out is None else out.unionByName(bad)
+    return out
+
+
 def file_checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(name, sha256, size_bytes) of files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
@@ -66,6 +128,13 @@ def compare_checksums(stored: DataFrame, found: DataFrame) -> DataFrame:
     return a.join(b, "name", "full_outer").select("name", status.alias("status"))
 
 
+def updated_checksums(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """The list of checksums as the files are now: changed and new ones renewed, missing ones
+    kept as they were."""
+    kept = stored.join(found.select("name"), "name", "left_anti")
+    return found.unionByName(kept.select(*found.columns))
+
+
 def doc_lines(docs: DataFrame, id_: str, text: str) -> DataFrame:
     return docs.select(id_, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 

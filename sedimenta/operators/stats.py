@@ -33,23 +33,37 @@ def yearly_trends(df: DataFrame, year: str = "year", order: str = "move_id", rej
     return c.groupBy(year).agg(F.sum("cnt").alias("total"), F.round(100 * F.sum("rejects") / F.sum("cnt"), 1).alias("reject_rate"), F.max_by("category", F.struct("cnt", -F.col("first"))).alias("top_category"))
 
 
-def corpus_stats(df: DataFrame) -> DataFrame:
-    """(what, label, cnt, pct): all rows, and shares of severities and categories; an empty
-    table gives no rows."""
+def corpus_stats(df: DataFrame, severities: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
+    """(what, label, cnt, pct): all rows, and shares of severities and categories; labels of the
+    domains that don't occur have 0. An empty table gives no rows."""
     g = df.groupingSets([[], ["severity"], ["category"]], "severity", "category").agg(F.count("*").alias("cnt"), F.grouping_id().alias("gid"))
     what = F.when(F.col("gid") == 3, "total").when(F.col("gid") == 1, "severity").otherwise("category")
-    total = F.max(F.when(F.col("gid") == 3, F.col("cnt"))).over(Window.partitionBy())  # one row a label
-    return g.select(what.alias("what"), F.when(F.col("gid") == 1, F.col("severity")).when(F.col("gid") == 2, F.col("category")).alias("label"), "cnt", F.round(100 * F.try_divide("cnt", total), 1).alias("pct"))
+    n = g.select(what.alias("what"), F.when(F.col("gid") == 1, F.col("severity")).when(F.col("gid") == 2, F.col("category")).alias("label"), "cnt")
+    domain = [("severity", x) for x in severities or []] + [("category", x) for x in categories or []]
+    if domain:
+        zeros = df.sparkSession.createDataFrame(domain, "what string, label string").withColumn("cnt", F.lit(0).cast("bigint"))
+        n = n.unionByName(zeros).groupBy("what", "label").agg(F.sum("cnt").alias("cnt"))
+    total = F.max(F.when(F.col("what") == "total", F.col("cnt"))).over(Window.partitionBy())  # one row a label
+    return n.withColumn("__total", total).filter("__total > 0").select("what", "label", "cnt", F.round(100 * F.try_divide("cnt", "__total"), 1).alias("pct"))
 
 
-def voice(df: DataFrame, text: str, hedges: str = r"(?i)\b(perhaps|maybe|might|unless)\b") -> DataFrame:
-    """How responses sound: mean words, and shares with hedging words, with a question, and
-    beginning with a list mark."""
-    from sedimenta.functions.text import word_count
+#: Samples of words that hedge, that swear and that joke; a deployment has its own.
+HEDGES, SWEARS, JOKES = r"(?i)\b(perhaps|maybe|might|unless)\b", r"(?i)\b(damn|hell|crap)\b", r"(?i)(\bjoking\b|\bkidding\b|:-\)|\bhaha)"
+
+
+def voice(df: DataFrame, text: str, hedges: str = HEDGES, swears: str = SWEARS, jokes: str = JOKES) -> DataFrame:
+    """How responses sound: mean words, and shares with hedging words, swear words, jokes, a
+    question, a list mark at the beginning, and list lines among all lines."""
+    from sedimenta.functions.text import lines, word_count
 
     t = F.coalesce(F.col(text), F.lit(""))
     share = lambda c, name: F.round(100 * F.avg(F.when(c, 1.0).otherwise(0.0)), 1).alias(name)
-    return df.agg(F.round(F.avg(word_count(t)), 1).alias("mean_words"), share(t.rlike(hedges), "hedging_pct"), share(t.contains("?"), "question_pct"), share(t.rlike(r"^\s*[-*]"), "list_pct"), F.count("*").alias("responses"))
+    own = F.filter(lines(t), lambda x: F.trim(x) != "")
+    bullets = F.filter(own, lambda x: x.rlike(r"^\s*[-*]"))
+    return df.agg(
+        F.round(F.avg(word_count(t)), 1).alias("mean_words"), share(t.rlike(hedges), "hedging_pct"), share(t.rlike(swears), "swearing_pct"), share(t.rlike(jokes), "humour_pct"), share(t.contains("?"), "question_pct"),
+        share(t.rlike(r"^\s*[-*]"), "list_pct"), F.round(100 * F.try_divide(F.sum(F.size(bullets)), F.sum(F.size(own))), 1).alias("list_lines_pct"), F.count("*").alias("responses"),
+    )
 
 
 def hierarchy(df: DataFrame) -> DataFrame:

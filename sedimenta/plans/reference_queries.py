@@ -90,13 +90,14 @@ def year_range(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 @query("corpus_stats", f"""
-with {CANON}, n as (select count(*) as total from canon)
+with {CANON}, n as (select count(*) as total from canon),
+d(what, label) as (values {", ".join([f"('severity', '{x}')" for x in labels.SEVERITIES] + [f"('category', '{x}')" for x in labels.CALIBRATED])}),
+c as (select 'severity' as what, severity as label, count(*) as cnt from canon group by 2 union all select 'category', category, count(*) from canon group by 2)
 select 'total' as what, null as label, total as cnt, 100.0 as pct from n
-union all select 'severity', severity, count(*), round(100 * count(*) / max(total), 1) from canon, n group by severity
-union all select 'category', category, count(*), round(100 * count(*) / max(total), 1) from canon, n group by category
+union all select d.what, d.label, coalesce(cnt, 0), round(100 * coalesce(cnt, 0) / total, 1) from d cross join n left join c on c.what = d.what and c.label = d.label
 """)
 def corpus_stats(spark, sf_dir):  # noqa: ANN001, ANN201
-    return stats.corpus_stats(canon(spark, sf_dir))
+    return stats.corpus_stats(canon(spark, sf_dir), labels.SEVERITIES, labels.CALIBRATED)
 
 
 @query("source_breakdown", "select coalesce(doc_kind, 'unknown') as source, count(*) as documents, count(distinct lang) as langs from documents group by 1")
@@ -135,10 +136,13 @@ def manifest_senders(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 @query("voice_metrics", r"""
-with t as (select coalesce(response, '') as r from review_moves)
+with t as (select coalesce(response, '') as r from review_moves),
+l as (select r, list_filter(string_split(r, chr(10)), lambda x: trim(x) <> '') as a from t)
 select round(avg(len(list_filter(regexp_split_to_array(r, '\s+'), lambda w: w <> ''))), 1) as mean_words,
   round(100 * avg(case when regexp_matches(r, '(?i)\b(perhaps|maybe|might|unless)\b') then 1.0 else 0.0 end), 1) as hedging_pct,
-  round(100 * avg(case when contains(r, '?') then 1.0 else 0.0 end), 1) as question_pct, round(100 * avg(case when regexp_matches(r, '^\s*[-*]') then 1.0 else 0.0 end), 1) as list_pct, count(*) as responses from t
+  round(100 * avg(case when regexp_matches(r, '(?i)\b(damn|hell|crap)\b') then 1.0 else 0.0 end), 1) as swearing_pct, round(100 * avg(case when regexp_matches(r, '(?i)(\bjoking\b|\bkidding\b|:-\)|\bhaha)') then 1.0 else 0.0 end), 1) as humour_pct,
+  round(100 * avg(case when contains(r, '?') then 1.0 else 0.0 end), 1) as question_pct, round(100 * avg(case when regexp_matches(r, '^\s*[-*]') then 1.0 else 0.0 end), 1) as list_pct,
+  round(100 * sum(len(list_filter(a, lambda x: regexp_matches(x, '^\s*[-*]')))) / sum(len(a)), 1) as list_lines_pct, count(*) as responses from l
 """)
 def voice_metrics(spark, sf_dir):  # noqa: ANN001, ANN201
     return stats.voice(table(spark, sf_dir, "review_moves"), "response")
@@ -806,6 +810,29 @@ def variation_enrichment(spark, sf_dir):  # noqa: ANN001, ANN201
     return enrich.variations(table(spark, sf_dir, "emails"))
 
 
+_TOLD = rf"""
+e as (select message_id, lower(coalesce(from_email, '')) as s, coalesce(to_addrs, '') || ',' || coalesce(cc_addrs, '') as r, left(body, 2000) as t from emails where coalesce(trim(message_id), '') <> '' and len(list_filter(regexp_split_to_array(coalesce(body, ''), '[\s\p{{Z}}\x{{85}}]+'), lambda w: w <> '')) >= 50),
+a as (select message_id, t, s, unnest(list_distinct(list_filter(list_transform(string_split(r, ','), lambda x: lower(trim(x))), lambda x: x <> ''))) as recipient from e),
+told as (select message_id as email_message_id, recipient,
+  case when s <> '' and regexp_extract(recipient, '@([^@]*)$', 1) = regexp_extract(s, '@([^@]*)$', 1) then 'peer' when ends_with(string_split(recipient, '@')[1], 'review') then 'maintainer' else 'newcomer' end as relationship,
+  case when contains(t, 'not acceptable') then 'harsh' when contains(lower(t), 'please') then 'formal' else 'direct' end as tone from a)"""
+
+
+@query("interlocutors", f"with {_TOLD} select email_message_id, recipient, relationship, tone from told")
+def interlocutors(spark, sf_dir):  # noqa: ANN001, ANN201
+    t = enrich.interlocutors(table(spark, sf_dir, "emails"))
+    return t.select("email_message_id", F.explode("recipients").alias("r")).select("email_message_id", "r.*")
+
+
+@query("tone_by_relationship", f"""
+with {CANON}, {_TOLD}, k as (select distinct {_key_sql('email_message_id')} as k, relationship from told), j as (select k.relationship, c.severity from canon c join k on k.k = {_key_sql('c.email_message_id')})
+select relationship, severity, count(*) as cnt, round(100 * count(*) / sum(count(*)) over (partition by relationship), 1) as pct from j group by 1, 2
+""")
+def tone_by_relationship(spark, sf_dir):  # noqa: ANN001, ANN201
+    told = enrich.interlocutors(table(spark, sf_dir, "emails")).withColumn("k", message_key(F.col("email_message_id")))
+    return enrich.tone_by_relationship(canon(spark, sf_dir).withColumn("k", message_key(F.col("email_message_id"))), told)
+
+
 @query("enrichment_lines", """
 with v as (select coalesce(nullif(trim(thread_phase), ''), 'unknown') as p, coalesce(nullif(trim(urgency), ''), 'unknown') as u, coalesce(nullif(trim(stakes), ''), 'unknown') as s, coalesce(nullif(trim(risk), ''), 'unknown') as r from variations)
 select printf('- %s, %s: stakes %s, risk %s', p, u, s, r) as line, count(*) as n from v group by 1

@@ -66,6 +66,17 @@ def put(spark: SparkSession, name: str, data: bytes) -> str:
     return fs.makeQualified(path).toString()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a text file to a path of any file system."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(text.encode("utf-8"))
+    finally:
+        out.close()
+
+
 def open_folder(folder: str):  # noqa: ANN201
     """(file system, path) of a folder by its URI, for tasks that read or write files of it."""
     from pyarrow import fs

@@ -24,5 +24,5 @@ def read_emails(spark: SparkSession, path: str, done: DataFrame | None = None, s
 
 
 def append_keys(keys: DataFrame, path: str) -> None:
-    """Add keys to a key table; what was there stays."""
-    keys.write.mode("append").text(path)
+    """Add keys to a key table, each once and in order; what was there stays."""
+    keys.distinct().orderBy(keys.columns[0]).write.mode("append").text(path)

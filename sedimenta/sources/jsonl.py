@@ -10,8 +10,12 @@ KEY_RECORD = "skipped_ids array<string>, skipped_passages array<string>, email_m
 
 
 def read_strict(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Records of a fixed schema; a malformed line fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Records of a fixed schema; a malformed line or a key that the schema lacks fails the read.
+    Blank lines are skipped."""
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    extra = F.array_except(F.json_object_keys("value"), F.array(*[F.lit(f.name) for f in kind.fields]))
+    checked = F.when(F.size(extra) > 0, F.raise_error(F.concat(F.lit("unknown keys: "), F.array_join(extra, ", "))).cast("string")).otherwise(F.col("value"))
+    return spark.read.text(path).filter(F.trim("value") != "").select(F.from_json(checked, kind, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def unknown_keys(spark: SparkSession, path: str, known: list[str]) -> DataFrame:
