@@ -3,9 +3,10 @@ samples, for a deployment to replace."""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions.text import lines, strip
@@ -22,7 +23,11 @@ CALIBRATION_SEVERITY = {"process": "discussion"}
 MIGRATION_CATEGORY = {k: ("error-handling" if k == "reliability" else v) for k, v in CALIBRATION_CATEGORY.items() if k != "security"}
 TRAILERS = "acked-by nacked-by signed-off-by reviewed-by tested-by reported-by suggested-by co-developed-by".split()
 
+# How subjects and lines tell what a mail is.
 ANNOUNCEMENT = r"(?i)^(linux\s+\d|git\s+pull|pull\s+request|merge\s+(branch|tag))"
+PULL, COMMENTS, SUBMISSION, PATCH = r"(?i)\[git\s+pull\]", r"(?i)\[rfc\]", r"(?i)^(re:\s*)*\[patch", r"(?i)\bpatch\b"
+DECISION = r"(?i)\b(applied|merged|rejected|acked|pulled)\b"
+URGENT, CANDIDATE = r"(?i)(-rc|merge\s+window|release\s+blocker|critical\s+fix)", r"(?i)-rc\d"
 TRAILER_LINE = rf"(?i)^({'|'.join(TRAILERS)}):"
 
 
@@ -36,6 +41,14 @@ class Lexicon:
     authors: list[str] = field(default_factory=lambda: ["we", "i", "you", "maintainer"])
     technical: list[str] = field(default_factory=lambda: ["lock", "buffer", "cache", "patch", "callback", "queue", "struct", "test"])
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Lexicon:
+        """The lists of a JSON object in a file; a list it lacks is the default, another key an error."""
+        lists = json.loads(spark.read.text(path, wholetext=True).first().value)
+        if extra := lists.keys() - cls.__dataclass_fields__.keys():
+            raise ValueError(f"no such lists: {sorted(extra)}")
+        return cls(**lists)
+
 
 def canonical(c: Column, domain: list[str], remap: dict[str, str]) -> Column:
     """c where the domain has it, else what it is read as, else null."""
@@ -49,10 +62,10 @@ def is_review(subject: Column, reply_to: Column, body: Column, least_body: int =
     is no trailer. An empty reply identifier counts as none."""
     s = strip(F.coalesce(subject, F.lit("")))
     b = strip(F.coalesce(body, F.lit("")))
-    reply = (F.coalesce(reply_to, F.lit("")) != "") | F.startswith(F.lower(s), F.lit("re:")) | s.rlike(r"(?i)\bpatch\b")
-    dropped = s.rlike(ANNOUNCEMENT) | s.rlike(r"(?i)\[git\s+pull\]") | s.rlike(r"(?i)\[rfc\]")
+    reply = (F.coalesce(reply_to, F.lit("")) != "") | F.startswith(F.lower(s), F.lit("re:")) | s.rlike(PATCH)
+    dropped = s.rlike(ANNOUNCEMENT) | s.rlike(PULL) | s.rlike(COMMENTS)
     if drop_patches:
-        dropped |= s.rlike(r"(?i)^(re:\s*)*\[patch")
+        dropped |= s.rlike(SUBMISSION)
     stripped = F.transform(lines(b), lambda x: strip(x))
     substance = F.exists(stripped, lambda x: (F.length(x) > least_line) & ~x.rlike(TRAILER_LINE))
     return reply & ~dropped & (F.length(b) >= least_body) & substance
@@ -61,13 +74,13 @@ def is_review(subject: Column, reply_to: Column, body: Column, least_body: int =
 def thread_phase(subject: Column, reply_to: Column) -> Column:
     return (
         F.when(F.coalesce(reply_to, F.lit("")) == "", "initial_review")
-        .when(subject.rlike(r"(?i)\b(applied|merged|rejected|acked|pulled)\b"), "final_decision")
+        .when(subject.rlike(DECISION), "final_decision")
         .otherwise("iteration_n")
     )
 
 
 def urgency(subject: Column, date: Column) -> Column:
-    hit = subject.rlike(r"(?i)(-rc|merge\s+window|release\s+blocker|critical\s+fix)") | date.rlike(r"(?i)-rc\d")
+    hit = subject.rlike(URGENT) | date.rlike(CANDIDATE)
     return F.when(hit, "release_blocker").otherwise("routine")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from sedimenta.session import open_folder
+
 RAW = "file string, msg_index long, raw binary"
 MESSAGE = "message_id string, from_name string, from_email string, date string, subject string, in_reply_to string, body string, to_addrs string, cc_addrs string"
 
@@ -21,20 +24,30 @@ class _Chunk(InputPartition):
 
 class MboxReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.path = options["path"].removeprefix("file:")
+        self.path = options["path"]
         self.chunk = int(options.get("chunkBytes", 64 << 20))
 
     def partitions(self) -> list[_Chunk]:
-        import glob
-        import os
+        """Chunks of a file, of the files of a folder, or of those whose names match the last part
+        of the path, in any file system that a URI names."""
+        from fnmatch import fnmatchcase
+
+        from pyarrow import fs
 
-        files = sorted(glob.glob(os.path.join(self.path, "*")) if os.path.isdir(self.path) else glob.glob(self.path))
-        return [_Chunk(f, at, min(at + self.chunk, os.path.getsize(f))) for f in files for at in range(0, max(1, os.path.getsize(f)), self.chunk)]
+        files, path = open_folder(self.path)
+        pattern = "*"
+        if "*" in path or "?" in path:
+            path, _, pattern = path.rpartition("/")
+        info = files.get_file_info(path)
+        found = files.get_file_info(fs.FileSelector(path)) if info.type == fs.FileType.Directory else [info]
+        found = sorted((i.path, i.size) for i in found if i.type == fs.FileType.File and fnmatchcase(i.base_name, pattern))
+        return [_Chunk(f, at, min(at + self.chunk, size)) for f, size in found for at in range(0, max(1, size), self.chunk)]
 
     def read(self, partition: _Chunk) -> Iterator[tuple]:
         """Messages that begin inside the chunk; the last is read past its end. A message is
         numbered by the position of its separator line."""
-        with open(partition.path, "rb") as f:
+        files, _ = open_folder(self.path)
+        with io.BufferedReader(files.open_input_file(partition.path), 1 << 20) as f:
             f.seek(max(0, partition.start - 1))
             if partition.start:
                 f.readline()  # the rest of a line that began before

@@ -70,8 +70,8 @@ def test_pipeline(spark, data, tmp_path):
     m = pipeline.flat(spark.read.parquet(out), "email")
     p = pipeline.cluster(m, 5)
     assert p.groupBy("category").count().agg({"count": "max"}).first()[0] <= 5
-    assert pipeline.prompt(p).startswith("## ")
-    assert pipeline.calibrate(m.withColumn("year", m.move_no))["corpus"].count() > 1
+    assert pipeline.prompt(p).startswith(f"{p.count()} patterns\ncategories: ") and "\n## " in pipeline.prompt(p)
+    assert pipeline.calibrate(m)["corpus"].count() > 1 and pipeline.calibrate(m)["trends"].count() > 0
     d = spark.read.parquet(f"{data}/documents.parquet").filter("doc_kind = 'interview'")
     assert pipeline.classify_interviews(d, "doc_id").filter("passage_id = 'source-001'").count() == 1
     assert pipeline.cluster_sources(m, m.limit(0), 5).count() > 0

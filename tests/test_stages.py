@@ -189,3 +189,12 @@ def test_manifest(spark):
     assert sinks.manifest(e.limit(0)).first().messages == 0
     with pytest.raises(ValueError):
         sinks.to_document(e.filter("utc_us is not null").withColumn("k", F.col("from_email")), "k", ["utc_us"], 1)
+
+
+def test_lexicon(spark, tmp_path):
+    (tmp_path / "l.json").write_text('{"technical": ["spinlock"]}')
+    lex = labels.Lexicon.read(spark, str(tmp_path / "l.json"))
+    assert lex.technical == ["spinlock"] and lex.personal == labels.Lexicon().personal
+    (tmp_path / "l.json").write_text('{"other": []}')
+    with pytest.raises(ValueError, match="other"):
+        labels.Lexicon.read(spark, str(tmp_path / "l.json"))
