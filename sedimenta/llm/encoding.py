@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.session import put
@@ -232,6 +232,15 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").filter("text <> ''").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def given_vocabulary(spark: SparkSession, path: str) -> str:
+    """Name of the vocabulary file, given to all workers through the shared folder; only the
+    driver needs the path."""
+    with open(path, "rb") as f:
+        uri = put(spark, f"{uuid.uuid4().hex}.vocabulary", f.read())
+    spark.sparkContext.addFile(uri)
+    return uri.rsplit("/", 1)[-1]
+
+
 def compile_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS) -> str:
     """Name of the automaton file given to all workers."""
     spark = docs.sparkSession
@@ -282,13 +291,14 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, only_lengths: bool = F
     """(doc_id, ids), or (doc_id, n_tokens), of every document. Lengths need each word once a
     task; counting the words of the corpus for a lexicon first would read it twice."""
     name = "" if only_lengths else compile_lexicon(docs, vocabulary)
+    ranks = given_vocabulary(docs.sparkSession, vocabulary)
     kind = "doc_id long, n_tokens long" if only_lengths else "doc_id long, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(name)
+        encoder = _encoders.get(ranks)
         if encoder is None:
             _encoders.clear()
-            encoder = _encoders[name] = Encoder(SparkFiles.get(name) if name else None, vocabulary)
+            encoder = _encoders[ranks] = Encoder(SparkFiles.get(name) if name else None, SparkFiles.get(ranks))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):  # batches of results stay small
                 part = batch.slice(at, 500)
