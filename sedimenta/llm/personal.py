@@ -24,6 +24,7 @@ stands; repeated rows are judged one by one.
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,7 +44,9 @@ TRAINING_ROWS = 200_000
 SLOTS = 1 << 14
 #: Times a word must occur as a sender's name to enter the gazetteer.
 NAME_LEAST = 2
-#: A word that stands beside spans so often speaks for them if these are at least, and against
+#: Characters on each side by which a span is told from copies of it.
+AROUND = 16
+#: A word that stands beside spans so often, copies aside, speaks for them if these are at least, and against
 #: if at most, so great a share of the different ones expected; of which GROUPS are told apart.
 OFTEN, MANY, FEW, GROUPS = 8, 0.6, 0.3, 63
 #: Gazetteer: what a word is.
@@ -394,8 +397,8 @@ def labelers_of(name: str) -> Labelers:
     return _labelers[name]
 
 
-_SPANS = ["tab", "row_id", "kind", "start", "end", "pattern", "known", "against", "what", "left", "right", *(f"f{i}" for i in range(N_FEATURES))]
-_SPAN_TYPES = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * (6 + N_FEATURES)]
+_SPANS = ["tab", "row_id", "kind", "start", "end", "pattern", "known", "against", "what", "around", "left", "right", *(f"f{i}" for i in range(N_FEATURES))]
+_SPAN_TYPES = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * (7 + N_FEATURES)]
 
 
 def what(text: str, x: Span) -> int:
@@ -414,7 +417,7 @@ def rows_of(labelers: Labelers, tab: str, row: int, text: str) -> list[tuple]:
         left, right = left_word(text, x.start), right_word(text, x.end)
         # a name beside an address says whose it is, not what
         sides = [0 if labelers.names[w] & LOWERED else word_slot(x.kind, w) for w in (left, right)]
-        out.append((tab, row, x.kind, x.start, x.end, x.pattern, x.known, x.against, what(text, x), *sides, *features(text, x, left, right)))
+        out.append((tab, row, x.kind, x.start, x.end, x.pattern, x.known, x.against, what(text, x), zlib.crc32(text[max(0, x.start - AROUND) : x.end + AROUND].encode("utf-8", "replace")) >> 1, *sides, *features(text, x, left, right)))
     return out
 
 
@@ -465,11 +468,11 @@ def numbers_of(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
 
 def beside(spans: DataFrame) -> Judge:
     """Words that speak for and against, from how many different spans they stand beside."""
-    held = spans.groupBy("kind", "what").agg(F.count("*").alias("n")).toPandas()  # kinds x groups
+    held = spans.groupBy("kind", "what").agg(F.approx_count_distinct("around", 0.02).alias("n")).toPandas()  # kinds x groups
     out = []
     for side in ("left", "right"):
         bit = F.expr("shiftleft(cast(1 as bigint), what)")
-        seen = spans.filter(f"{side} > 0").groupBy("kind", side).agg(F.count("*").alias("n"), F.bit_count(F.bit_or(bit)).alias("groups")).filter(F.col("n") >= OFTEN).toPandas()  # at most kinds x slots
+        seen = spans.filter(f"{side} > 0").groupBy("kind", side).agg(F.approx_count_distinct("around", 0.02).alias("n"), F.bit_count(F.bit_or(bit)).alias("groups")).filter(F.col("n") >= OFTEN).toPandas()  # at most kinds x slots
         table = np.zeros(SLOTS, np.int8)
         for kind, k in seen.groupby("kind"):
             share = held.loc[held["kind"] == kind, "n"].to_numpy(float)

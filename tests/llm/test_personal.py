@@ -123,6 +123,6 @@ def test_tokens_of_any_length():
 
 
 def test_words_that_stand_beside_the_same_few_speak_against(spark):
-    rows = [("t", i, 4, 0, 1, 0, 1, 0, i % 60, 5, 0) for i in range(120)] + [("t", i, 4, 0, 1, 0, 1, 0, 7, 6, 0) for i in range(20)] + [("t", i, 4, 0, 1, 0, 1, 0, 7, 8, 0) for i in range(3)]
-    j = p.beside(spark.createDataFrame(rows, "tab string, row_id long, kind int, start long, end long, pattern int, known int, against int, what int, left int, right int"))
+    rows = [("t", i, 4, 0, 1, 0, 1, 0, i % 60, i, 5, 0) for i in range(120)] + [("t", i, 4, 0, 1, 0, 1, 0, 7, 200 + i, 6, 0) for i in range(20)] + [("t", i, 4, 0, 1, 0, 1, 0, 7, 300 + i % 3, 8, 0) for i in range(90)]
+    j = p.beside(spark.createDataFrame(rows, "tab string, row_id long, kind int, start long, end long, pattern int, known int, against int, what int, around int, left int, right int"))
     assert (j.left[5], j.left[6], j.left[8]) == (1, -1, 0) and not j.right.any()
