@@ -91,11 +91,12 @@ def linked(findings: DataFrame, near: int, words: int | None) -> DataFrame:
     while True:
         least = shared.join(labels, "finding_id").groupBy("key").agg(F.min("place_no").alias("least"))
         spread = shared.join(least, "key").groupBy("finding_id").agg(F.min("least").alias("least"))
-        now = cut(labels.join(spread, "finding_id", "left").select("finding_id", "place_no", F.least("place_no", "least").alias("now")))
-        changed = not now.filter("now <> place_no").isEmpty()
-        labels = now.select("finding_id", F.col("now").alias("place_no"))
-        if not changed:
+        near_ = cut(labels.join(spread, "finding_id", "left").select("finding_id", "place_no", F.least("place_no", "least").alias("now")))
+        if near_.filter("now <> place_no").isEmpty():
             return findings.join(labels, "finding_id")
+        # a label's own label is as good, and halves the way
+        ahead = near_.select(F.col("finding_id").alias("__at"), F.col("now").alias("__least"))
+        labels = near_.join(ahead, F.col("now") == F.col("__at")).select("finding_id", F.col("__least").alias("place_no"))
 
 
 class Pool:

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,16 @@ def winner_bitmaps(narrow: DataFrame, n_keys: int) -> DataFrame:
     return won.groupBy(_FILE, _PART).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({_ROW} + 1))").alias(_BITS))
 
 
+def _put(files: FileSystem, mine: str, final: str) -> None:
+    """Give a file its name; another run of the same task may have done so, with the same bits."""
+    try:
+        files.move(mine, final)
+    except OSError:
+        if files.get_file_info(final).type == FileType.NotFound:
+            raise
+        files.delete_file(mine)
+
+
 def write_vectors(bitmaps: DataFrame) -> str:
     """Write the stretches of each file's vector one after the other into a file of the shared
     folder; returns the folder. A task that runs again writes the same."""
@@ -80,7 +91,7 @@ def write_vectors(bitmaps: DataFrame) -> str:
                 if file != name:
                     if out is not None:
                         out.close()
-                        files.move(mine, f"{root}/{name}")
+                        _put(files, mine, f"{root}/{name}")
                     out, name, upto = files.open_output_stream(mine), file, 0
                 part -= 1  # stretches count from 1
                 for _ in range(upto, part):
@@ -89,7 +100,7 @@ def write_vectors(bitmaps: DataFrame) -> str:
                 upto = part + 1
         if out is not None:
             out.close()
-            files.move(mine, f"{root}/{name}")
+            _put(files, mine, f"{root}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([name or 0], pa.int64())], ["file"])
 
     b = bitmaps.select(_FILE, _PART, _BITS).repartition(_FILE).sortWithinPartitions(_FILE, _PART)
